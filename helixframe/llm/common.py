@@ -16,6 +16,7 @@ BATCH_ROWS = 1000
 def tune(spark: SparkSession) -> None:
     """Session settings every operator relies on for bounded memory and disk."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
