@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from itertools import combinations
 from math import ceil
 
@@ -23,8 +24,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import store
-
 WORD = re.compile(r"\w+")
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 MATCHES = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double"
@@ -147,6 +146,27 @@ class Index:
         return [(item, *v) for item, v in best.items()]
 
 
+def passes(benchmark: DataFrame, items_per_pass: int):
+    """The benchmark's items in lists of bounded length; one empty list if there are none."""
+    part, any_ = [], False
+    for row in benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
+        part.append((row[0], row[1]))
+        if len(part) == items_per_pass:
+            yield part
+            part, any_ = [], True
+    if part or not any_:
+        yield part
+
+
+def index_of(items, shingle, similarity, radius, blocks) -> Index:
+    """The index of one pass, built once in each worker."""
+    key = hash((tuple(items), shingle, similarity, radius, blocks))
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = Index(items, shingle, similarity, radius, blocks)
+    return _indexes[key]
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, blocks: int = 7, items_per_pass: int = 20_000) -> DataFrame:
     """One row per document and item found in it: its best window's first word, words and similarity.
 
@@ -155,17 +175,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
     no broadcast grows beyond that. Repeated rows give repeated matches; null texts give none.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").toLocalIterator()
-    out, part = None, []
-
-    def one_pass(batch):
-        key = hash(tuple(batch))
 
+    def one_pass(items):
         def run(batches):
-            if key not in _indexes:
-                _indexes.clear()
-                _indexes[key] = Index(batch, shingle, similarity, radius, blocks)
-            index = _indexes[key]
+            index = index_of(items, shingle, similarity, radius, blocks)
             for b in batches:
                 found = [(d, *m) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for m in index.matches(t)]
                 cols = list(zip(*found, strict=True)) or [[]] * 5
@@ -173,18 +186,18 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simila
 
         return rows.mapInArrow(run, MATCHES)
 
-    for row in items:
-        part.append((row[0], row[1]))
-        if len(part) == items_per_pass:
-            out, part = (one_pass(part) if out is None else out.union(one_pass(part))), []
-    if part or out is None:
-        out = one_pass(part) if out is None else out.union(one_pass(part))
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """Rows of docs with no benchmark item in them. Rows with a null doc_id are judged by their own text as well."""
-    numbered = docs.drop("row_no").withColumn("row_no", F.monotonically_increasing_id())
-    kept = store(numbered, "decontaminate-rows")
-    bad = find_matches(kept.select(F.col("row_no").alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias("row_no")).distinct()
-    return kept.join(bad, "row_no", "left_anti").select(*docs.columns)
+    return reduce(DataFrame.union, map(one_pass, passes(benchmark, items_per_pass)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, blocks: int = 7, items_per_pass: int = 20_000) -> DataFrame:
+    """Rows of docs in whose text no benchmark item is found; decided where the row is, without a shuffle."""
+
+    def one_pass(rows, items):
+        def run(batches):
+            index = index_of(items, shingle, similarity, radius, blocks)
+            for b in batches:
+                yield b.filter(pa.array([not index.matches(t) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return reduce(one_pass, passes(benchmark, items_per_pass), docs)

@@ -52,12 +52,12 @@ class Parser:
         self.symbol[:0x3000][everything] = 1
         for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 3]):
             self.symbol[ord(c)] = 2 + i
-        tables, self.roots, base, self.cost = [], [], 0, []
+        tables, self.idle, base, self.cost = [], [], 0, []
         for lang in self.langs:
             coded = self.code(texts[lang][:room]).tolist()
             t = self._table(coded, base)
-            self.roots.append(base)
             base += len(t)
+            self.idle.append(base - 1)
             tables.append(t)
             self.cost.append(math.log2(max(2, len(coded))))
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
@@ -71,7 +71,7 @@ class Parser:
 
     @staticmethod
     def _table(coded: list[int], base: int) -> np.ndarray:
-        """Row per state of the suffix automaton: next state * 2, plus 1 where a phrase ends first."""
+        """Row per state of the suffix automaton: next state * 2, plus 1 where a new phrase begins."""
         nxt, link, size, last = [{}], [-1], [0], 0
         for c in coded:
             cur = len(nxt)
@@ -96,18 +96,19 @@ class Parser:
                         p = link[p]
                     link[q] = link[cur] = copy
             last = cur
-        start = np.full(ALPHABET, base * 2 + 1, np.int32)
+        idle = len(nxt)  # before the first symbol and after one the sample doesn't have
+        start = np.full(ALPHABET, (base + idle) * 2 + 1, np.int32)
         for c, q in nxt[0].items():
             start[c] = (base + q) * 2 + 1
-        t = np.tile(start, (len(nxt), 1))
+        t = np.tile(start, (idle + 1, 1))
         for s, row in enumerate(nxt):
             for c, q in row.items():
                 t[s, c] = (base + q) * 2
-        t[:, ALPHABET - 1] = (base + np.arange(len(nxt))) * 2
+        t[:, ALPHABET - 1] = (base + np.arange(idle + 1)) * 2
         return t
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases that end in each text, by language, and each text's number of symbols."""
+        """Phrases of each text, by language, and each text's number of symbols."""
         coded = [self.code(t) for t in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
         lanes = -(-sizes // self.block)
@@ -121,14 +122,14 @@ class Parser:
         for a in range(0, len(owner), 8192):
             part = np.ascontiguousarray(grid[a : a + 8192].T)
             used = int((part != ALPHABET - 1).any(axis=1).sum())
-            state = np.repeat(np.array(self.roots, np.int64)[:, None], part.shape[1], axis=1)
-            ended = np.ones(state.shape, np.int32)
+            state = np.repeat(np.array(self.idle, np.int64)[:, None], part.shape[1], axis=1)
+            begun = np.zeros(state.shape, np.int32)
             for step in part[:used]:
                 v = self.table[state * ALPHABET + step]
-                ended += v & 1
+                begun += v & 1
                 state = (v >> 1).astype(np.int64)
             for i in range(len(self.langs)):
-                counts[i] += np.bincount(owner[a : a + 8192], ended[i], len(texts)).astype(np.int64)
+                counts[i] += np.bincount(owner[a : a + 8192], begun[i], len(texts)).astype(np.int64)
         return counts, sizes
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

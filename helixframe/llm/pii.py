@@ -172,6 +172,16 @@ def trusted_patterns(scanned: DataFrame, rounds: int = 3, least_score: float = 0
     return scored.where((F.col("support") >= least_support) & (best >= least_score)).select("pattern", kind.alias("kind"), best.alias("score"))
 
 
+def added_spans(scanned: DataFrame, rounds: int, least_score: float, least_support: int) -> DataFrame:
+    """(row_id, added): the identifiers that trusted patterns find in each row."""
+    patterns = store(trusted_patterns(scanned, rounds, least_score, least_support), "pii-patterns")
+    seen = scanned.select("row_id", F.explode("seen").alias("s")).where("s.kind is null").select("row_id", "s.start", "s.end", "s.surface", F.explode("s.patterns").alias("pattern"))
+    digits = F.length(F.regexp_replace("surface", "[^0-9]", ""))
+    fits = F.when(F.col("kind") == "email", F.col("surface").contains("@")).when(F.col("kind") == "ip", (digits >= 4) & (F.col("surface").contains(".") | F.col("surface").contains(":"))).when(F.col("kind") == "card", digits >= 8).otherwise(digits >= 5)
+    hits = seen.join(patterns, "pattern").where(fits).groupBy("row_id", "start", "end").agg(F.max(F.struct("score", (-F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))).alias("o"), "kind")).alias("b"))
+    return hits.groupBy("row_id").agg(F.collect_list(F.struct(F.col("b.kind").alias("kind"), "start", "end", F.col("b.score").alias("score"))).alias("added"))
+
+
 def find(docs: DataFrame, rounds: int = 3, least_score: float = 0.6, least_support: int = 3) -> DataFrame:
     """row_id, doc_id, counts of base spans by kind, base_sha256, spans (text) and found (array of kind, start, end, score); one row per row of docs.
 
@@ -181,12 +191,7 @@ def find(docs: DataFrame, rounds: int = 3, least_score: float = 0.6, least_suppo
     """
     rows = docs if "row_id" in docs.columns and docs.columns[-1] == "row_id" else docs.drop("row_id").withColumn("row_id", F.monotonically_increasing_id())
     scanned = store(scan(rows), "pii-scan")
-    patterns = store(trusted_patterns(scanned, rounds, least_score, least_support), "pii-patterns")
-    seen = scanned.select("row_id", F.explode("seen").alias("s")).where("s.kind is null").select("row_id", "s.start", "s.end", "s.surface", F.explode("s.patterns").alias("pattern"))
-    digits = F.length(F.regexp_replace("surface", "[^0-9]", ""))
-    fits = F.when(F.col("kind") == "email", F.col("surface").contains("@")).when(F.col("kind") == "ip", (digits >= 4) & (F.col("surface").contains(".") | F.col("surface").contains(":"))).when(F.col("kind") == "card", digits >= 8).otherwise(digits >= 5)
-    hits = seen.join(patterns, "pattern").where(fits).groupBy("row_id", "start", "end").agg(F.max(F.struct("score", (-F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))).alias("o"), "kind")).alias("b"))
-    added = hits.groupBy("row_id").agg(F.collect_list(F.struct(F.col("b.kind").alias("kind"), "start", "end", F.col("b.score").alias("score"))).alias("added"))
+    added = added_spans(scanned, rounds, least_score, least_support)
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1.0).alias("score")))
     full = scanned.join(added, "row_id", "left").withColumn("found", F.when(F.col("added").isNull(), base).otherwise(F.concat(base, F.col("added"))))
     order = F.array(*map(F.lit, KINDS))
@@ -195,31 +200,35 @@ def find(docs: DataFrame, rounds: int = 3, least_score: float = 0.6, least_suppo
     return full.select("row_id", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", text.alias("spans"), "found")
 
 
-def mask(docs: DataFrame, **settings) -> DataFrame:
+def mask(docs: DataFrame, rounds: int = 3, least_score: float = 0.6, least_support: int = 3) -> DataFrame:
     """docs with every found span of text replaced by its kind in angle brackets; null texts stay null, n_chars follows.
 
     Overlapping spans are replaced as one, under the kind that starts first.
     """
     numbered = store(docs.drop("row_id").withColumn("row_id", F.monotonically_increasing_id()), "pii-rows")
-    found = find(numbered, **settings).where("size(found) > 0").select(F.col("row_id").alias("r"), "found")
-    both = numbered.join(found, numbered.row_id == found.r, "left").drop("r", "row_id")
+    scanned = store(scan(numbered), "pii-scan")
+    added = store(added_spans(scanned, rounds, least_score, least_support).withColumnRenamed("row_id", "r"), "pii-added")
+    both = numbered.join(added, numbered.row_id == added.r, "left").drop("r", "row_id")
     schema = docs.schema
 
     def run(batches):
         for b in batches:
-            texts = [cover(t, f) for t, f in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True)]
+            texts = []
+            for t, more in zip(b.column("text").to_pylist(), b.column("added").to_pylist(), strict=True):
+                spans = [(a, z, k) for k, found in base_spans(t).items() for a, z in found] if t else []
+                texts.append(cover(t, spans + [(s["start"], s["end"], s["kind"]) for s in more or ()]))
             made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([made.get(f.name, b.column(f.name)) if f.name in ("text", "n_chars") else b.column(f.name) for f in schema], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else b.column(f.name) for f in schema], names=[f.name for f in schema])
 
     return both.mapInArrow(run, schema)
 
 
-def cover(text: str | None, found) -> str | None:
-    if not text or not found:
+def cover(text: str | None, spans) -> str | None:
+    if not text or not spans:
         return text
     out, at = [], 0
-    for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-        if s["start"] >= at:
-            out += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
-        at = max(at, s["end"])
+    for a, z, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if a >= at:
+            out += [text[at:a], f"<{kind.upper()}>"]
+        at = max(at, z)
     return "".join(out) + text[at:]

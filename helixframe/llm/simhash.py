@@ -149,13 +149,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, passes:
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """Rows of docs that are the first of their group: the one whose doc_id names the component.
+    """Rows of docs without those whose doc_id does not name their component: one document of each group stays.
 
     Rows with a null doc_id are kept. Repeated rows with the same doc_id stay together.
+    The dropped ids are written first, so their real size decides how they are joined.
     """
-    found = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(found, docs.doc_id == found.kept_id, "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs, shingle, radius).where("doc_id <> component_id")
+    gone = store(found.select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
+    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
 
 
 def hex_fingerprint(fp):
