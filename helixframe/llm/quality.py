@@ -100,10 +100,10 @@ def training_rows(docs: DataFrame, graded: DataFrame, rows: int = 3000, chars: i
 
     Null texts and grades are left out; texts with several grades keep the lowest.
     """
-    learn = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.length("text").between(1, chars)).select("doc_id", "text")
-    both = learn.join(graded.where("grade is not null").select("doc_id", "grade"), "doc_id").withColumn("h", F.xxhash64("text"))
+    learn = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.length("text").between(1, chars)).withColumn("h", F.xxhash64("text"))
+    both = learn.select("doc_id", "h").join(graded.where("grade is not null").select("doc_id", "grade"), "doc_id")
     least = both.groupBy("h").agg(F.min("grade").alias("grade")).orderBy("h").limit(rows)
-    chosen = both.select("h", "text").join(F.broadcast(least), "h").groupBy("h", "grade").agg(F.min("text").alias("text"))
+    chosen = learn.select("h", "text").join(F.broadcast(least), "h").groupBy("h", "grade").agg(F.min("text").alias("text"))
     return [(r["text"], int(r["grade"])) for r in sorted(chosen.collect(), key=lambda r: r["h"])]
 
 
