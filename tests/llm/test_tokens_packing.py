@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from helixframe.llm import packing, tokens
 
 SF = "/root/testdata/sf0.001"
-ODD = ["", None, " ", "a", "it's  two\n\n spaces ", "x\x1cy z", "<|endoftext|> a<|endoftext|>b", "é́ é", "中文字 тест", " nbsp em", "9" * 500, "a" * 30000, "😀😀 fin", "don't WE'LL 12.5%"]
+ODD = ["", None, " ", "a", "it's  two\n\n spaces ", "x\x1cy z", "<|endoftext|> a<|endoftext|>b", "é́ é", "中文字 тест", " nbsp em", "9" * 500, "a" * 30000, "😀😀 fin", "don't WE'LL 12.5%", "<|STARTOFTEXT|> ÀÉ İI ΣΑΣ"]
 SCHEMA = "doc_id bigint, text string, source string, n_tokens string, length int"
 
 
