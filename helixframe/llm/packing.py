@@ -23,26 +23,25 @@ from helixframe.llm.common import store
 from helixframe.llm.tokens import encoder
 
 PIECES = "doc_id bigint, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, round bigint"
-#: White space on which str.split and the tokenizer do not agree.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
-
 _words: dict = {}
 
 
-def encode_batch(texts: list[str], path: str, cache_size: int = 400_000) -> list[bytes]:
-    """Little-endian 32-bit ids of each text by a tokenizer that drops white space.
+def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> list[bytes]:
+    """Little-endian 32-bit ids of each text by a tokenizer that drops white space and case.
 
     White space always ends a pre-token of such a tokenizer, so a text's ids are
-    those of its words in a row; each worker keeps a bounded cache of words.
+    those of its words in a row; each worker keeps a bounded cache of words,
+    A-Z lower-cased. Texts that may hold a special token go to the library whole.
     """
     own, cache = encoder(path), _words.setdefault(path, {})
-    split = [t.split() if not any(c in t for c in ODD_SPACE) else None for t in texts]
+    split = [t.encode("utf-8", "replace").lower().split() if "<|" not in t else None for t in texts]
     new = set().union(*(s for s in split if s)).difference(cache)
     found = {}
     if new:
         new = list(new)
         for i in range(0, len(new), 20_000):
-            for w, e in zip(new[i : i + 20_000], own.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False), strict=True):
+            part = new[i : i + 20_000]
+            for w, e in zip(part, own.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 found[w] = np.array(e.ids, "<u4").tobytes()
     if len(cache) + len(found) <= cache_size:
         cache.update(found)
