@@ -3,7 +3,7 @@
 A capture is a request, a response (or a revisit of an equal payload) and a
 metadata record; the first and last name the second by WARC-Concurrent-To.
 Archives are written by Spark's text writer: a record ends with two CRLF, which
-is the writer's line end, so a file is a valid uncompressed WARC file. Reading
+is the writer's line end, so a file is a valid WARC file, gzipped as a whole. Reading
 goes by Content-Length and never by searching for a separator.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import scratch, store
+from helixframe.llm.common import drop, scratch, store
 
 CRLF = "\r\n"
 PRIMARY = ("response", "revisit", "resource")
@@ -72,7 +72,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-0
     short = _record("revisit", F.col("own"), uri, [when, digest, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.concat(F.lit("<"), "other", F.lit(">")))], "application/http; msgtype=response", http)
     metadata = _record("metadata", F.concat(F.lit("urn:capture:metadata:"), "key", F.lit(":"), "digest"), uri, [when, together], "application/warc-fields", F.concat(F.lit("page-id: "), "key", F.lit(CRLF)))
     lines = rows.select(F.explode(F.array(request, F.when(F.col("revisit"), short).otherwise(full), metadata)).alias("value"))
-    lines.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+    lines.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 HEAD = re.compile(rb"\r\n\r\n")
@@ -188,4 +188,5 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     path = scratch(pages.sparkSession, "warc")
     write(pages, path, least_bytes)
     records = store(read(pages.sparkSession, path, with_payload=False), "warc-records")
+    drop(pages.sparkSession, path)
     return assemble(records.drop("payload"))
