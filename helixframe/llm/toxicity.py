@@ -257,11 +257,11 @@ def fit(texts: list[str], labels: list[int], steps: int = 360, lanes: int = 192,
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = 600, clean_rows: int = 1000, chars: int = 8000) -> list[tuple[str, int]]:
     """At most `toxic_rows` and `clean_rows` labelled texts of up to `chars` characters, not held out, by least hash of the text."""
-    learn = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.length("text").between(1, chars)).select("doc_id", "text")
-    both = learn.join(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y")), "doc_id").withColumn("h", F.xxhash64("text"))
+    learn = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.length("text").between(1, chars)).withColumn("h", F.xxhash64("text"))
+    both = learn.select("doc_id", "h").join(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y")), "doc_id")
     each = both.groupBy("h").agg(F.max("y").alias("y"))
     least = each.where("y = 1").orderBy("h").limit(toxic_rows).unionByName(each.where("y = 0").orderBy("h").limit(clean_rows))
-    chosen = both.select("h", "text").join(F.broadcast(least), "h").groupBy("h", "y").agg(F.min("text").alias("text"))
+    chosen = learn.select("h", "text").join(F.broadcast(least), "h").groupBy("h", "y").agg(F.min("text").alias("text"))
     return [(r["text"], r["y"]) for r in sorted(chosen.collect(), key=lambda r: r["h"])]
 
 
