@@ -3,23 +3,43 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches stay small because one text may be very long.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
+_kept: dict = {}
 
 
 def tune(spark: SparkSession) -> None:
     """Session settings every operator relies on for bounded memory and disk."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def worker_cache(owner: str) -> dict:
+    """The caches of one operator in this process. Spark keeps Python workers for later
+    stages, so another operator's caches are dropped and their memory is given back first.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _kept[owner] = {}
+    return _kept[owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import worker_cache
+
 WORD = re.compile(r"\w+")
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 MATCHES = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double"
@@ -39,13 +41,10 @@ class Hashes(dict):
         return h
 
 
-_hashes = Hashes()
-_indexes: dict = {}
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     words = WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = worker_cache("decontamination").setdefault("hashes", Hashes())
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -161,10 +160,11 @@ def passes(benchmark: DataFrame, items_per_pass: int):
 def index_of(items, shingle, similarity, radius, blocks) -> Index:
     """The index of one pass, built once in each worker."""
     key = hash((tuple(items), shingle, similarity, radius, blocks))
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = Index(items, shingle, similarity, radius, blocks)
-    return _indexes[key]
+    indexes = worker_cache("decontamination").setdefault("indexes", {})
+    if key not in indexes:
+        indexes.clear()
+        indexes[key] = Index(items, shingle, similarity, radius, blocks)
+    return indexes[key]
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, blocks: int = 7, items_per_pass: int = 20_000) -> DataFrame:

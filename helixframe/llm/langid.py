@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import held_out
+from helixframe.llm.common import held_out, worker_cache
 
 #: Symbols: 0 a letter no sample has, 1 all that is no letter, then letters; the last one pads.
 ALPHABET = 64
-_built: dict = {}
 
 
 def samples(docs: DataFrame, rows: int = 60, chars: int = 24_000, low: int = 200, high: int = 6000) -> dict[str, str]:
@@ -159,11 +158,12 @@ def predict(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     key = hash(tuple(sorted(texts.items())))
 
     def run(batches):
-        if key not in _built:
-            _built.clear()
-            _built[key] = Parser(texts)
+        built = worker_cache("language")
+        if key not in built:
+            built.clear()
+            built[key] = Parser(texts)
         for b in batches:
-            langs, scores = _built[key].identify(b.column("text").to_pylist())
+            langs, scores = built[key].identify(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
 
     return docs.select(*rest).mapInArrow(run, schema)

@@ -19,11 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import store
+from helixframe.llm.common import store, worker_cache
 from helixframe.llm.tokens import encoder
 
 PIECES = "doc_id bigint, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, round bigint"
-_words: dict = {}
 
 
 def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> list[bytes]:
@@ -33,7 +32,7 @@ def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> li
     those of its words in a row; each worker keeps a bounded cache of words,
     A-Z lower-cased. Texts that may hold a special token go to the library whole.
     """
-    own, cache = encoder(path), _words.setdefault(path, {})
+    own, cache = encoder(path), worker_cache("packing").setdefault(path, {})
     split = [t.encode("utf-8", "replace").lower().split() if "<|" not in t else None for t in texts]
     new = set().union(*(s for s in split if s)).difference(cache)
     found = {}

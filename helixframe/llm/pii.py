@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import store
+from helixframe.llm.common import store, worker_cache
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,6 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row its base spans and all graph occurrences: seeds with their kind, candidates with null."""
 
     def run(batches):
+        worker_cache("pii")
         for b in batches:
             rows = []
             for row_id, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("row_id", "doc_id", "text")), strict=True):

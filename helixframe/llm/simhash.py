@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import connected_components, drop, scratch, store
+from helixframe.llm.common import connected_components, drop, scratch, store, worker_cache
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of variants a task gathers for one bucket, and fingerprints that one task expands.
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp) with fp the fingerprint as a signed bigint. Null texts count as empty."""
 
     def run(batches):
+        worker_cache("simhash")
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])

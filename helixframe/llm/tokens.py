@@ -16,13 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import worker_cache
+
 #: The published pre-token pattern of byte-level BPE.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Outside these ranges Unicode versions of regex engines may differ: the library then takes the whole text.
 UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ʯΑ-ΡΣ-ϿЀ-ҁҊ-ԯ‐-‧€ぁ-ゖァ-ヺ一-龥가-힣]")
 
 _encoders: dict = {}
-_lengths: dict = {}
 
 
 def encoder(path: str):
@@ -53,10 +54,11 @@ def frequent_table(docs: DataFrame, path: str, sample_rows: int = 500, size: int
 
 def count_batch(texts: list[str | None], path: str, table: dict[str, int], cache_size: int = 400_000) -> list[int]:
     own = encoder(path)
-    special = _lengths.get((path, "special"))
+    kept = worker_cache("token counts")
+    special = kept.get((path, "special"))
     if special is None:
-        special = _lengths[path, "special"] = [t.content for t in own.get_added_tokens_decoder().values()]
-    cache = _lengths.setdefault(path, {})
+        special = kept[path, "special"] = [t.content for t in own.get_added_tokens_decoder().values()]
+    cache = kept.setdefault(path, {})
     plain = [bool(t) and not UNUSUAL.search(t) and not any(s in t for s in special) for t in texts]
     parts = [PRE_TOKEN.findall(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
     new = set(chain.from_iterable(parts)).difference(table).difference(cache)
@@ -68,23 +70,17 @@ def count_batch(texts: list[str | None], path: str, table: dict[str, int], cache
         found = {**found, **{w: cache[w] for w in set(chain.from_iterable(parts)).intersection(cache)}}
     else:
         found = cache
-    known = _Both(table, found)
+    if kept.get("table") is not table:
+        kept["table"], kept["known"] = table, _Both(table)
+    known = kept["known"]
+    known.rest = found
     return [sum(map(known.__getitem__, p)) if ok else (len(own.encode(t, add_special_tokens=False)) if t else 0) for t, ok, p in zip(texts, plain, parts, strict=True)]
 
 
 class _Both(dict):
     """Both tiers as one mapping: the table is copied once per process, the cache read on a miss."""
 
-    def __new__(cls, table, rest):
-        both = _lengths.get(("both", id(table)))
-        if both is None:
-            both = super().__new__(cls)
-            both.update(table)
-            _lengths["both", id(table)] = both
-        return both
-
-    def __init__(self, table, rest):
-        self.rest = rest
+    rest: dict = {}
 
     def __missing__(self, word):
         return self.rest[word]

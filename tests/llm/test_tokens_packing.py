@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from helixframe.llm import packing, tokens
+from helixframe.llm.common import worker_cache
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, " ", "a", "it's  two\n\n spaces ", "x\x1cy z", "<|endoftext|> a<|endoftext|>b", "é́ é", "中文字 тест", " nbsp em", "9" * 500, "a" * 30000, "😀😀 fin", "don't WE'LL 12.5%", "<|STARTOFTEXT|> ÀÉ İI ΣΑΣ"]
@@ -35,11 +36,23 @@ def test_a_full_cache_changes_nothing():
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
     texts = ["alpha beta gamma", "beta delta", "alpha epsilon zeta"] * 3
-    tokens._lengths.clear()
+    worker_cache("token counts").clear()
     for size in (0, 3, 1000):
         assert tokens.count_batch(texts, path, {"alpha": 1}, size)[1:] == [len(own.encode(t).ids) for t in texts][1:]
 
 
+def test_another_table_is_never_taken_for_the_last_one():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for n in range(1, 6):  # each table may stand where the one before it stood
+        assert tokens.count_batch(["alpha"], path, {"alpha": n}) == [n]
+
+
+def test_caches_of_another_operator_are_dropped():
+    worker_cache("one")["big"] = 1
+    assert worker_cache("one") == {"big": 1}
+    assert worker_cache("two") == {} and worker_cache("one") == {}
+
+
 @pytest.mark.parametrize("window", [16, 2048])
 def test_pieces_cover_every_document(spark, window):
     path = public_tokenizers.path("word_bpe_49k.json")
