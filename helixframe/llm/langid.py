@@ -31,7 +31,10 @@ def samples(docs: DataFrame, rows: int = 60, chars: int = 24_000, low: int = 200
     """
     learn = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).where(F.length("text").between(low, high))
     hashes = learn.select("lang", F.xxhash64("text").alias("h")).distinct()
-    first = hashes.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows)
+    # a language's least hashes lie among the least of each of its shares, so no task reads more than 16 * rows of one
+    share = F.pmod(F.hash("h"), F.lit(16))
+    near = hashes.withColumn("k", F.row_number().over(Window.partitionBy("lang", share).orderBy("h"))).where(F.col("k") <= rows).drop("k")
+    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows)
     chosen = learn.withColumn("h", F.xxhash64("text")).join(F.broadcast(first.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     found: dict[str, str] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"])):
