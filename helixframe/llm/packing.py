@@ -38,10 +38,9 @@ def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> li
     found = {}
     if new:
         new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, own.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                found[w] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(new), 50):
+            part = new[i : i + 50]
+            found.update(zip(part, encode_words(own, [w.decode() for w in part]), strict=True))
     if len(cache) + len(found) <= cache_size:
         cache.update(found)
         get = cache.__getitem__
@@ -53,6 +52,16 @@ def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> li
     return [b"".join(map(get, s)) if s is not None else np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, s in zip(texts, split, strict=True)]
 
 
+def encode_words(own, words: list[str]) -> list[bytes]:
+    """Ids of each word, from one text in which a special token that takes nothing of its neighbours parts the words."""
+    parting = next((i for i, t in own.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+    if parting is None:
+        return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(words, add_special_tokens=False)]
+    ids = np.array(own.encode(own.id_to_token(parting).join(words), add_special_tokens=False).ids, "<u4")
+    blob, ends = ids.tobytes(), (np.flatnonzero(ids == parting) * 4).tolist()
+    return [blob[a:z] for a, z in zip([0, *(z + 4 for z in ends)], [*ends, len(blob)], strict=True)]
+
+
 class _Tiers:
     def __init__(self, first, second):
         self.first, self.second = first, second
