@@ -11,7 +11,10 @@ deficits pass over windows and partitions without a sequential pass.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,17 @@ from helixframe.llm.tokens import encoder
 PIECES = "doc_id bigint, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, round bigint"
 
 
+#: Fixed values of the published tokenizer whose words are cut here; any other goes to the library word by word.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Lower-case words without apostrophes in letters that no normalizer changes, and their pre-tokens.
+SIMPLE = re.compile("[a-zß-öø-ÿ0-9!-&(-/:-@\\[-`{-~]+")
+PART = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+
+
 def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> list[bytes]:
     """Little-endian 32-bit ids of each text by a tokenizer that drops white space and case.
 
@@ -33,42 +47,60 @@ def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> li
     A-Z lower-cased. Texts that may hold a special token go to the library whole.
     """
     own, cache = encoder(path), worker_cache("packing").setdefault(path, {})
-    split = [t.encode("utf-8", "replace").lower().split() if "<|" not in t else None for t in texts]
-    new = set().union(*(s for s in split if s)).difference(cache)
-    found = {}
-    if new:
-        new = list(new)
-        for i in range(0, len(new), 50):
-            part = new[i : i + 50]
-            found.update(zip(part, encode_words(own, [w.decode() for w in part]), strict=True))
-    if len(cache) + len(found) <= cache_size:
-        cache.update(found)
-        get = cache.__getitem__
-    else:
-        room = cache_size - len(cache)
-        get = _Tiers(cache, found).__getitem__
-        if room > 0:
-            cache.update(list(found.items())[:room])
-    return [b"".join(map(get, s)) if s is not None else np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, s in zip(texts, split, strict=True)]
+    split = [t.encode("utf-8", "replace").lower().split() if "<|" not in t else () for t in texts]
+    known = [list(map(cache.get, words)) for words in split]  # one look-up a word: they are most of the time
+    short = [i for i, ids in enumerate(known) if None in ids]
+    if short:
+        new = list({w for i in short for w, ids in zip(split[i], known[i], strict=True) if ids is None})
+        found = dict(zip(new, encode_words(own, [w.decode() for w in new]), strict=True))
+        for i in short:
+            known[i] = [found[w] if ids is None else ids for w, ids in zip(split[i], known[i], strict=True)]
+        cache.update(islice(found.items(), max(0, cache_size - len(cache))))
+    return [b"".join(ids) if "<|" not in t else np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ids in zip(texts, known, strict=True)]
+
+
+_cutters: dict = {}
+
+
+def _cutter(own):
+    """Ids of one pre-token straight from the tokenizer's model, or None if its steps before the model are not the known ones."""
+    if id(own) not in _cutters:
+        found = None
+        normal = json.loads(own.normalizer.__getstate__()) if own.normalizer else {}
+        before = json.loads(own.pre_tokenizer.__getstate__()) if own.pre_tokenizer else {}
+        if normal == {"type": "Sequence", "normalizers": NORMALIZERS} and before == {"type": "Sequence", "pretokenizers": PRE_TOKENIZERS}:
+            model, ids = own.model, [i.to_bytes(4, "little") for i in range(own.get_vocab_size())]
+            # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on
+            plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+            moved = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+            def found(part: str) -> bytes:
+                if not part.isascii():
+                    part = part.encode().decode("latin-1").translate(moved)
+                return b"".join([ids[t.id] for t in model.tokenize(part)])
+
+        _cutters[id(own)] = own, found
+    return _cutters[id(own)][1]
 
 
 def encode_words(own, words: list[str]) -> list[bytes]:
-    """Ids of each word, from one text in which a special token that takes nothing of its neighbours parts the words."""
-    parting = next((i for i, t in own.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
-    if parting is None:
-        return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(words, add_special_tokens=False)]
-    ids = np.array(own.encode(own.id_to_token(parting).join(words), add_special_tokens=False).ids, "<u4")
-    blob, ends = ids.tobytes(), (np.flatnonzero(ids == parting) * 4).tolist()
-    return [blob[a:z] for a, z in zip([0, *(z + 4 for z in ends)], [*ends, len(blob)], strict=True)]
-
-
-class _Tiers:
-    def __init__(self, first, second):
-        self.first, self.second = first, second
-
-    def __getitem__(self, word):
-        ids = self.first.get(word)
-        return self.second[word] if ids is None else ids
+    """Ids of each word without white space, A-Z lower-cased: simple ones by their pre-tokens, others by the library."""
+    cut, out, made, rest = _cutter(own), [], {}, []
+    for word in words:
+        if cut is None or not SIMPLE.fullmatch(word):
+            rest.append(len(out))
+            out.append(None)
+            continue
+        ids = []
+        for part in (word,) if word.isalpha() else PART.findall(word):
+            got = made.get(part)
+            if got is None:
+                got = made[part] = cut(part)
+            ids.append(got)
+        out.append(b"".join(ids))
+    for i, e in zip(rest, own.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
 
 
 class Schedule:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -60,6 +61,19 @@ def test_words_encoded_together_are_those_encoded_alone():
         assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_words(own, part)] == [own.encode(w, add_special_tokens=False).ids for w in part]
 
 
+def test_simple_words_are_cut_as_the_library_cuts_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, draw = Tokenizer.from_file(path), random.Random(7)
+    assert packing._cutter(own) is not None and packing._cutter(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))) is None
+    signs = [*map(chr, range(33, 0x180)), *["'"] * 4, *"abcstredmlv0123", "\u0301", " ", "\n"]
+    texts = ["".join(draw.choices(signs, k=draw.randint(1, 40))) for _ in range(3000)] + [t or "" for t in ODD]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    worker_cache("packing").clear()
+    for size in (0, 100, 10_000):  # a full cache changes nothing
+        for i in range(0, len(texts), 500):
+            assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_batch(texts[i : i + 500], path, size)] == want[i : i + 500]
+
+
 @pytest.mark.parametrize("window", [16, 2048])
 def test_pieces_cover_every_document(spark, window):
     path = public_tokenizers.path("word_bpe_49k.json")
