@@ -1,12 +1,15 @@
 """Mixture-controlled packing of token streams into fixed windows.
 
 Every source is a queue of tokens. Deficit round-robin serves the queues in
-rounds of `round_windows` windows: source s is credited share_s of a round's
-tokens, whole tokens are served, and the fraction it is still owed is carried
-into the next round. As documents may be cut anywhere, the tokens served to s
-before round r are exactly floor(r * round_tokens * share_s), so any task can
-take up the schedule at any round with all deficits of the rounds before it:
-deficits pass over windows and partitions without a sequential pass.
+rounds of `round_windows` windows, by default of one: source s is credited
+share_s of a round's tokens, whole tokens are served, and the fraction it is
+still owed is carried into the next round. As documents may be cut anywhere, the
+tokens served to s before round r are exactly floor(r * round_tokens * share_s +
+phase_s), so any task can take up the schedule at any round with all deficits of
+the rounds before it: deficits pass over windows and partitions without a
+sequential pass. The phases, multiples of the golden ratio, spread the whole
+tokens of different sources over the rounds, so a round ends within a few tokens
+of its window. Within a round the tokens of a source stand together.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -109,22 +112,27 @@ class Schedule:
     def __init__(self, totals: list[int], weights: list[int], window: int, round_windows: int):
         self.totals, self.weights, self.window, self.per_round = totals, weights, window, window * round_windows
         self.weight, self.tokens = sum(weights), sum(totals)
-        self._served: dict[int, list[int]] = {}
+        self.phases = [(s * 0x9E3779B97F4A7C15 % (1 << 64)) * self.weight >> 64 for s in range(len(weights))]
+        self._served: dict[int, tuple[list[int], list[int]]] = {}
 
-    def served(self, r: int) -> list[int]:
-        """Tokens of each source served before round r."""
+    def due(self, s: int, r: int) -> int:
+        return (r * self.per_round * self.weights[s] + self.phases[s]) // self.weight
+
+    def served(self, r: int) -> tuple[list[int], list[int]]:
+        """Tokens of each source served before round r, and where its part of the round starts in the packed stream."""
         if r not in self._served:
-            if len(self._served) > 64:
+            if len(self._served) > 4096 or len(self._served) * len(self.totals) > 1 << 20:
                 self._served.clear()
-            self._served[r] = [min(t, r * self.per_round * w // self.weight) for t, w in zip(self.totals, self.weights, strict=True)]
+            a, b = ([min(t, self.due(s, q)) for s, t in enumerate(self.totals)] for q in (r, r + 1))
+            self._served[r] = a, list(accumulate((y - x for x, y in zip(a, b, strict=True)), initial=sum(a)))
         return self._served[r]
 
     def round_of(self, s: int, x: int) -> int:
-        """The round that serves token x of source s: the last r with served(r)[s] <= x."""
+        """The round that serves token x of source s: the last r with due(s, r) <= x."""
         r = x * self.weight // (self.per_round * self.weights[s])
-        while r * self.per_round * self.weights[s] // self.weight > x:
+        while self.due(s, r) > x:
             r -= 1
-        while (r + 1) * self.per_round * self.weights[s] // self.weight <= x:
+        while self.due(s, r + 1) <= x:
             r += 1
         return r
 
@@ -132,9 +140,9 @@ class Schedule:
         """(round, queue position, position in the packed stream, length) of tokens x0 up to x1 of source s."""
         while x0 < x1:
             r = self.round_of(s, x0)
-            a, b = self.served(r), self.served(r + 1)
-            end = min(x1, b[s])
-            yield r, x0, sum(a) + sum(b[i] - a[i] for i in range(s)) + x0 - a[s], end - x0
+            a, starts = self.served(r)
+            end = min(x1, self.due(s, r + 1))
+            yield r, x0, starts[s] + x0 - a[s], end - x0
             x0 = end
 
     def padded(self, sequence: int) -> int:
@@ -143,13 +151,14 @@ class Schedule:
         return self.window if left >= self.window else min(self.window, 1 << max(0, left - 1).bit_length())
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, targets: dict[str, int] | None = None, round_windows: int = 64, max_sources: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, targets: dict[str, int] | None = None, round_windows: int = 1, max_sources: int = 1024, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, round; ids too if asked for.
 
     Every document ends with `end_id`; null or empty texts are that id alone.
     targets: integer weight of each source (others: 1); by default each source's
     share of all tokens, so that all queues end together. A queue that ends
-    leaves its share of later rounds to the others. The `max_sources` - 1 sources
+    leaves its share of later rounds to the others. With `round_windows` above 1
+    the shares hold for so many windows together, not for each. The `max_sources` - 1 sources
     with most tokens and the null source have queues of their own; any further ones
     share one queue, so the schedule has a proven bound. Repeated rows
     are packed as often as they occur. An empty table gives no pieces.

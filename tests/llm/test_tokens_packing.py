@@ -121,3 +121,34 @@ def test_targets_and_shared_queue(spark):
 
 def test_nothing_to_pack(spark):
     assert packing.pack(odd_rows(spark).limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_every_window_has_the_target_shares(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7)
+    got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).groupBy("sequence_id", "source").sum("length").toPandas()
+    share = got.groupby("source")["sum(length)"].sum() / got["sum(length)"].sum()
+    wide = got[got.sequence_id < got.sequence_id.max()].pivot(index="sequence_id", columns="source", values="sum(length)").fillna(0)
+    assert len(wide) > 20 and (wide.sum(axis=1) == 2048).all()
+    print("largest difference of a source in a window:", abs(wide - 2048 * share).max().max())
+    assert (abs(wide - 2048 * share) <= len(share)).all().all()
+
+
+@pytest.mark.parametrize("by_size", [True, False])
+def test_schedules_of_many_sources_are_whole(by_size):
+    draw = random.Random(3)
+    totals = [draw.choice([0, 1, 5, 300, 300, 4000]) for _ in range(60)] + [50_000]
+    weights = [max(1, t) for t in totals] if by_size else [draw.randint(1, 9) for _ in totals]
+    plan, places, counts = packing.Schedule(totals, weights, 256, 1), [], {}
+    for s, t in enumerate(totals):
+        at = 0
+        for cut in sorted({t, *(draw.randint(0, t) for _ in range(5))}):
+            for _, x, g, n in plan.runs(s, at, cut):
+                assert x == at and n > 0
+                places += range(g, g + n)
+                for p in range(g, g + n):
+                    counts[p // 256, s] = counts.get((p // 256, s), 0) + 1
+                at += n
+            assert at == cut
+    assert sorted(places) == list(range(sum(totals)))
+    if by_size:
+        assert max(abs(counts.get((r, s), 0) - 256 * t / sum(totals)) for s, t in enumerate(totals) for r in range(sum(totals) // 256)) <= 12
