@@ -7,7 +7,8 @@ differs in at most r // b bits, and each block's table lists all items that
 near), and candidates are verified by the exact weighted Jaccard similarity of
 their shingle counts. Windows are hashed only where they can pass that last
 test: a similarity of t needs 2t / (1 + t) of the window's shingles in the
-benchmark, which prefix sums tell for all windows at once; no match is lost.
+benchmark, which prefix sums tell for all windows at once; this test loses no
+match. A text shorter than an item is its own only window for that item.
 """
 
 from __future__ import annotations
@@ -122,26 +123,29 @@ class Index:
         for size in self.sizes if by_k else ():
             k = min(self.shingle, size)
             m = size - k + 1
-            if k not in by_k or len(by_k[k][0]) < m:
+            if k not in by_k:
                 continue
             h, sums = by_k[k]
-            least = ceil(m * 2 * self.similarity / (1 + self.similarity) - 1e-9)
-            starts = np.flatnonzero(sums[m:] - sums[:-m] >= least)
+            n = min(m, len(h))  # shingles of a window: those of the whole text where that is shorter than the item
+            if n < ceil(m * self.similarity - 1e-9):
+                continue
+            least = ceil((m + n) * self.similarity / (1 + self.similarity) - 1e-9)
+            starts = np.flatnonzero(sums[n:] - sums[:-n] >= least)
             for a in range(0, len(starts), 4096):
                 part = starts[a : a + 4096]
-                lo, hi = int(part[0]), int(part[-1]) + m
+                lo, hi = int(part[0]), int(part[-1]) + n
                 run = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bit_sums(h[lo:hi]), axis=0, dtype=np.int32)))
-                fps = to_fingerprints(run[part - lo + m] - run[part - lo], m)
+                fps = to_fingerprints(run[part - lo + n] - run[part - lo], n)
                 for s, fp in zip(part.tolist(), fps.tolist(), strict=True):
                     found = self.lookup(size, fp)
                     if found:
-                        own = Counter(h[s : s + m].tolist())
+                        own = Counter(h[s : s + n].tolist())
                         for i in found:
                             item, counts, _ = self.sizes[size][i]
                             both = (own & counts).total()
-                            value = both / (2 * m - both)
+                            value = both / (m + n - both)
                             if value >= self.similarity and (item not in best or value > best[item][2]):
-                                best[item] = (s, size, value)
+                                best[item] = (s, min(size, len(words)), value)
         return [(item, *v) for item, v in best.items()]
 
 

@@ -120,6 +120,16 @@ def test_decontamination_against_all_windows(spark):
     assert kept == {r.doc_id for r in more.collect()} - {d for d, _ in got}
 
 
+def test_truncated_items_are_found(spark):
+    item = [f"w{i}" for i in range(40)]
+    cut = {1: item[:-1], 2: item[1:], 3: item[2:-2], 4: item[:-8], 5: item[4:36], 6: item, 7: item[:4]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in cut.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: (r.start_word, r.n_words, r.similarity) for r in decontaminate.find_matches(docs, bench).collect()}
+    assert got == {1: (0, 39, 35 / 36), 2: (0, 39, 35 / 36), 3: (0, 36, 32 / 36), 6: (0, 40, 1.0)}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {4, 5, 7}
+
+
 def test_multi_index_misses_nothing_in_the_radius():
     items = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(20))) for i in range(40)]
     index = decontaminate.Index(items, 5, 0.8, 20, 7)
