@@ -4,6 +4,7 @@ Each word enters as its own embedding beside the mean embedding of its
 character trigrams; two gated recurrent units read a window in both directions,
 attention pools their states, and a logistic unit scores the window. A text's
 score is that of its worst window; windows overlap and cover the whole text.
+Runs of more than 40 characters enter as overlapping parts, each a word of its own.
 Training is plain numpy: multiple-instance learning, where a toxic document
 teaches by its worst window and a clean one by any.
 """
@@ -23,10 +24,17 @@ from helixframe.llm.common import held_out
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE, HIDDEN, WIDE, TRIGRAMS = 32, 24, 8, 8, 4096
+#: Characters of the longest word, and between the starts of the parts of a longer run.
+LONGEST, STEP = 40, 30
+
+
+def short_words(words: list[str]) -> list[str]:
+    """The words, longer ones as overlapping parts that cover them."""
+    return [w[a : a + LONGEST] for w in words for a in range(0, max(1, len(w) - LONGEST + STEP), STEP)]
 
 
 def trigrams(word: str) -> list[int]:
-    padded = f"^{word[:40]}$"
+    padded = f"^{word}$"
     return [zlib.crc32(padded[i : i + 3].encode("utf-8", "surrogatepass")) % TRIGRAMS for i in range(len(padded) - 2)]
 
 
@@ -163,6 +171,9 @@ class Scorer:
         if self.used > self.cache_words:
             self._reset()
         new = set().union(*words).difference(self.rows)
+        if any(len(w) > LONGEST for w in new):  # no such word is ever in the table
+            words = list(map(short_words, words))
+            new = set().union(*words).difference(self.rows)
         if new:
             self.add(sorted(new))
         grids, owner = [], []
@@ -197,7 +208,7 @@ class Scorer:
 def fit(texts: list[str], labels: list[int], steps: int = 360, lanes: int = 192, rate: float = 0.02, vocabulary: int = 20_000, seed: int = 3) -> Scorer:
     """Adam on windows; the first third takes any window of a document, then toxic ones their worst."""
     y = np.array(labels, np.float32)
-    words = [WORD.findall(t.lower()) for t in texts]
+    words = [short_words(WORD.findall(t.lower())) for t in texts]
     spread = Counter(w for ws in words for w in set(ws))
     known = {w: i + 1 for i, (w, n) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]) if n >= 3}
     net = Network(known, seed)

@@ -216,6 +216,27 @@ def test_windows_cover_all_words():
         assert set(grid.ravel().tolist()) - {0} == set(scorer.rows[f"w{i}"] for i in range(n)) and len(owner) == len(grid)
 
 
+def test_long_runs_are_covered_by_parts():
+    letters = "".join(chr(0x4E00 + i) for i in range(10_000))
+    for n in (1, 39, 40, 41, 69, 70, 71, 100, 101, 10_000):
+        parts = toxicity.short_words(["x", letters[:n]])
+        assert parts[0] == "x" and all(len(p) <= 40 for p in parts)
+        assert all(any(letters[a : a + min(n, 10)] in p for p in parts[max(1, a // 30 - 1) : a // 30 + 3]) for a in range(max(1, n - 9)))
+    scorer = toxicity.Scorer(toxicity.Network({}))
+    whole = scorer.windows([letters])[0]
+    assert (scorer.windows([letters[:-1] + "x"])[0] != whole).any() and len(whole) > 10
+    assert scorer.scores([letters[:5000] + "x" * 100 + letters[5000:]])[0] != scorer.scores([letters])[0]
+
+
+def test_toxic_words_in_long_runs(spark):
+    rng = np.random.default_rng(2)
+    words = [f"{a}{b}" for a in ("ta", "mi", "ro", "ken") for b in ("la", "po", "su", "dim", "nor")]
+    text = lambda bad: "_".join([*rng.choice(words, 60), *bad, *rng.choice(words, 60)])
+    clean, toxic = [text([]) for _ in range(100)], [text(["moronmoron"] * 3) for _ in range(60)]
+    scorer = toxicity.fit(clean[:80] + toxic[:40], [0] * 80 + [1] * 40, steps=200)
+    assert (scorer.scores(clean[80:]) < 0.7).mean() >= 0.9 and (scorer.scores(toxic[40:]) >= 0.7).mean() >= 0.9
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     sf = "/root/testdata/sf0.001"
