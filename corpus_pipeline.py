@@ -7,6 +7,7 @@ shared folder, and all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, langid, packing, pii, simhash
 from helixframe.llm.common import store, table
@@ -15,7 +16,10 @@ from helixframe.llm.queries import tokenizer
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language can be told: those with a letter. lang stays as it was given."""
-    return langid.predict(docs, langid.samples(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+    learned = langid.samples(docs)
+    if not learned:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return langid.predict(docs, learned).where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

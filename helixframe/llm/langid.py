@@ -25,23 +25,43 @@ ALPHABET = 64
 
 
 def samples(docs: DataFrame, rows: int = 60, chars: int = 24_000, low: int = 200, high: int = 6000) -> dict[str, str]:
-    """language -> sample text: of the labelled rows of `low` to `high` characters, the `rows` with least text hashes, to `chars` characters in all.
+    """language -> sample text of at most `chars` characters.
 
+    First come the labelled rows of `low` to `high` characters, the `rows` with least text hashes. A language they
+    leave short of `chars` goes on with its other texts by least hash, as many as it takes: first longer ones, of
+    which the beginning is read, then shorter ones.
     Rows held out by their doc_id, and null languages or texts, are never used.
     """
-    learn = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).where(F.length("text").between(low, high))
-    hashes = learn.select("lang", F.xxhash64("text").alias("h")).distinct()
-    # a language's least hashes lie among the least of each of its shares, so no task reads more than 16 * rows of one
-    share = F.pmod(F.hash("h"), F.lit(16))
-    near = hashes.withColumn("k", F.row_number().over(Window.partitionBy("lang", share).orderBy("h"))).where(F.col("k") <= rows).drop("k")
-    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= rows)
-    chosen = learn.withColumn("h", F.xxhash64("text")).join(F.broadcast(first.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    found: dict[str, str] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"])):
-        found[r["lang"]] = (found.get(r["lang"], "") + " " + r["text"])[:chars]
+    learn = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).withColumn("size", F.length("text"))
+    found = _extend({}, _least(learn.where(F.col("size").between(low, high)), rows, chars), chars)
+    for more in (learn.where(F.col("size") > high), learn.where(F.col("size").between(1, low - 1))):
+        langs = [r["lang"] for r in more.select("lang").distinct().collect()]
+        poor = [x for x in langs if len(found.get(x, "")) < chars]
+        if poor:
+            found = _extend(found, _least(more.where(F.col("lang").isin(poor)), chars, chars), chars)
     return found
 
 
+def _extend(found: dict[str, str], texts: list, chars: int) -> dict[str, str]:
+    parts: dict[str, list[str]] = {k: [v] for k, v in found.items()}
+    for r in texts:
+        parts.setdefault(r["lang"], [""]).append(r["text"])
+    return {k: " ".join(v)[:chars] if len(v) > 1 else v[0] for k, v in parts.items()}
+
+
+def _least(learn: DataFrame, rows: int, chars: int) -> list:
+    """The texts with least hashes of each language, cut to `chars` characters: at most `rows`, or as many as hold `chars` together."""
+    hashes = learn.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("size").alias("size"))
+    # a language's least hashes lie among the least of each of its shares, so no task reads more than 16 * rows of one
+    for share in ([F.pmod(F.hash("h"), F.lit(16))], []):
+        order = Window.partitionBy("lang", *share).orderBy("h")
+        hashes = hashes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).drop("k")
+        if rows >= chars:
+            hashes = hashes.withColumn("sum", F.sum(F.col("size") + 1).over(order)).where(F.col("sum") - F.col("size") - 1 < chars).drop("sum")
+    chosen = learn.withColumn("h", F.xxhash64("text")).join(F.broadcast(hashes.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    return sorted(chosen.collect(), key=lambda r: (r["lang"], r["h"]))
+
+
 class Parser:
     """The automata of all languages as one transition table."""
 

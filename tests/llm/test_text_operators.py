@@ -95,6 +95,22 @@ def test_held_out_language(spark):
     assert all(r.lang_pred == "und" and r.score == 0 for r in langid.predict(odd(spark), {}).collect())
 
 
+def test_languages_of_short_or_long_texts_are_learned(spark):
+    words = {"aa": "bad cafe deaf", "bb": "mint onion plot", "cc": "quart rust stuv"}
+    texts = {"aa": lambda i: f"{words['aa']} x{i}", "bb": lambda i: f"{words['bb']} {i} " * 2000, "cc": lambda i: f"{words['cc']} {i} " * 20}
+    docs = spark.createDataFrame([(i, texts[k](i), k) for k in texts for i in range(90)], "doc_id bigint, text string, lang string")
+    learned = langid.samples(docs)
+    assert set(learned) == {"aa", "bb", "cc"} and all(len(t) <= 24_000 for t in learned.values())
+    assert len(learned["bb"]) == 24_000 and learned["aa"].count("cafe") == docs.where("lang = 'aa'").where(~held_out(docs.doc_id)).count()
+    assert langid.predict(docs, learned).where("lang = lang_pred").count() == 270
+    assert len(langid.samples(docs, chars=100)["aa"]) == 100
+
+
+def test_nothing_learned_keeps_documents_with_a_letter(spark):
+    docs = spark.createDataFrame([(1, "the cat"), (2, "..."), (3, None), (4, "\u4e2d"), (5, "")], "doc_id bigint, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'s' source", "1L n_chars")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} == {1, 4}
+
+
 def similarity(a, b):
     a, b = Counter(a), Counter(b)
     return (a & b).total() / max(1, (a | b).total())
