@@ -11,7 +11,7 @@ phrase ends where its block ends.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import held_out, worker_cache
 
-#: Symbols: 0 a letter no sample has, 1 all that is no letter, then letters; the last one pads.
-ALPHABET = 64
-
 
 def samples(docs: DataFrame, rows: int = 60, chars: int = 24_000, low: int = 200, high: int = 6000) -> dict[str, str]:
     """language -> sample text of at most `chars` characters.
@@ -63,26 +60,48 @@ def _least(learn: DataFrame, rows: int, chars: int) -> list:
 
 
 class Parser:
-    """The automata of all languages as one transition table."""
+    """The automata of all languages as one sparse transition table.
+
+    Symbols: 0 a letter no sample has, 1 all that is no letter, then every letter of the samples; the last one pads.
+    The transition of a state by a symbol, if there is one, is at slot[state] + symbol, where `owner` names the state.
+    """
 
-    def __init__(self, texts: dict[str, str], table_mb: int = 64, block: int = 1024):
+    def __init__(self, texts: dict[str, str], block: int = 1024):
         self.langs, self.block = sorted(texts), block
-        room = max(256, table_mb * 1_000_000 // max(1, len(texts) * 2 * ALPHABET * 4))
-        letters = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        self.symbol = np.zeros(0x110000, np.uint8)
+        letters = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})
+        self.pad = 2 + len(letters)
+        self.symbol = np.zeros(0x110000, np.min_scalar_type(self.pad))
         everything = np.array([not chr(i).isalpha() for i in range(0x3000)])
         self.symbol[:0x3000][everything] = 1
-        for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 3]):
+        for i, c in enumerate(letters):
             self.symbol[ord(c)] = 2 + i
-        tables, self.idle, base, self.cost = [], [], 0, []
-        for lang in self.langs:
-            coded = self.code(texts[lang][:room]).tolist()
-            t = self._table(coded, base)
-            base += len(t)
-            self.idle.append(base - 1)
-            tables.append(t)
+        rows, self.idle, self.cost = [], [], []
+        self.first = np.zeros((len(self.langs), self.pad + 1), np.int32)  # state after the first symbol of a phrase
+        for i, lang in enumerate(self.langs):
+            coded, base = self.code(texts[lang]).tolist(), len(rows)
+            nxt = self._automaton(coded)
+            self.idle.append(base + len(nxt))  # before the first symbol and after one the sample doesn't have
+            self.first[i] = self.idle[-1]
+            for c, q in nxt[0].items():
+                self.first[i, c] = base + q
+            rows += [{c: base + q for c, q in row.items()} for row in nxt]
+            rows.append({})
             self.cost.append(math.log2(max(2, len(coded))))
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self._place(rows)
+
+    def _place(self, rows: list[dict[int, int]]) -> None:
+        """Slots of the states: drawn until no transition meets another, states with many transitions first."""
+        size = 3 * sum(map(len, rows)) + self.pad + 1
+        draw = random.Random(1)
+        slot, owner, after = [0] * len(rows), [-1] * (size + self.pad + 1), [0] * (size + self.pad + 1)
+        for i in sorted((i for i, row in enumerate(rows) if row), key=lambda i: -len(rows[i])):
+            at = int(draw.random() * size)
+            while any(owner[at + c] >= 0 for c in rows[i]):
+                at = int(draw.random() * size)
+            slot[i] = at
+            for c, q in rows[i].items():
+                owner[at + c], after[at + c] = i, q
+        self.slot, self.owner, self.after = (np.array(x, np.int32) for x in (slot, owner, after))
 
     def code(self, text: str) -> np.ndarray:
         """Symbols of a text, with runs of anything but letters as one."""
@@ -92,8 +111,8 @@ class Parser:
         return s[keep]
 
     @staticmethod
-    def _table(coded: list[int], base: int) -> np.ndarray:
-        """Row per state of the suffix automaton: next state * 2, plus 1 where a new phrase begins."""
+    def _automaton(coded: list[int]) -> list[dict[int, int]]:
+        """The suffix automaton: next state by symbol of each state; the first is the start."""
         nxt, link, size, last = [{}], [-1], [0], 0
         for c in coded:
             cur = len(nxt)
@@ -118,16 +137,7 @@ class Parser:
                         p = link[p]
                     link[q] = link[cur] = copy
             last = cur
-        idle = len(nxt)  # before the first symbol and after one the sample doesn't have
-        start = np.full(ALPHABET, (base + idle) * 2 + 1, np.int32)
-        for c, q in nxt[0].items():
-            start[c] = (base + q) * 2 + 1
-        t = np.tile(start, (idle + 1, 1))
-        for s, row in enumerate(nxt):
-            for c, q in row.items():
-                t[s, c] = (base + q) * 2
-        t[:, ALPHABET - 1] = (base + np.arange(idle + 1)) * 2
-        return t
+        return nxt
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text, by language, and each text's number of symbols."""
@@ -135,7 +145,7 @@ class Parser:
         sizes = np.array([len(c) for c in coded], np.int64)
         lanes = -(-sizes // self.block)
         owner = np.repeat(np.arange(len(texts)), lanes)
-        grid = np.full((len(owner), self.block), ALPHABET - 1, np.uint8)
+        grid = np.full((len(owner), self.block), self.pad, self.symbol.dtype)
         at = 0
         for c, k in zip(coded, lanes.tolist(), strict=True):
             grid[at : at + k].reshape(-1)[: len(c)] = c
@@ -143,13 +153,14 @@ class Parser:
         counts = np.zeros((len(self.langs), len(texts)), np.int64)
         for a in range(0, len(owner), 8192):
             part = np.ascontiguousarray(grid[a : a + 8192].T)
-            used = int((part != ALPHABET - 1).any(axis=1).sum())
-            state = np.repeat(np.array(self.idle, np.int64)[:, None], part.shape[1], axis=1)
+            used = int((part != self.pad).any(axis=1).sum())
+            state = np.repeat(np.array(self.idle, np.int32)[:, None], part.shape[1], axis=1)
             begun = np.zeros(state.shape, np.int32)
             for step in part[:used]:
-                v = self.table[state * ALPHABET + step]
-                begun += v & 1
-                state = (v >> 1).astype(np.int64)
+                at = self.slot[state] + step
+                new = self.owner[at] != state
+                state = np.where(new, self.first[:, step], self.after[at])
+                begun += new & (step != self.pad)  # a lane that has ended stays so
             for i in range(len(self.langs)):
                 counts[i] += np.bincount(owner[a : a + 8192], begun[i], len(texts)).astype(np.int64)
         return counts, sizes

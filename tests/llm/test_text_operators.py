@@ -86,6 +86,31 @@ def test_phrases_are_the_longest_matches():
     assert counts.tolist() == [[phrases(t, samples[k], parser) for t in texts] for k in "ab"]
 
 
+def test_every_letter_of_many_scripts_counts():
+    draw = np.random.default_rng(5)
+    words = lambda first, n: ["".join(chr(first + int(c)) for c in draw.integers(0, n, 3)) for _ in range(40)]
+    scripts = {"latin": words(97, 26), "greek": words(0x3B1, 17), "cyrillic": words(0x430, 32), "han1": words(0x4E00, 400), "han2": words(0x5200, 400), "hangul1": words(0xAC00, 300), "hangul2": words(0xB000, 300)}
+    text = lambda k, n: " ".join(draw.choice(scripts[k], n))
+    samples = {k: text(k, 5000 if k == "latin" else 400) for k in scripts}
+    parser = langid.Parser(samples, block=64)
+    texts = [text(k, 30) for k in scripts]
+    assert parser.identify(texts)[0] == list(scripts)
+    assert parser.code(samples["hangul2"]).max() > 255 and parser.symbol[[ord(c) for t in samples.values() for c in t if c != " "]].min() >= 2
+
+    def longest(part, sample):
+        at = n = 0
+        while at < len(part):
+            size = 1
+            while at + size < len(part) and part[at : at + size + 1] in sample:
+                size += 1
+            n, at = n + 1, at + size
+        return n
+
+    coded = lambda t: "".join(map(chr, parser.code(t)))
+    counts, _ = parser.phrases(texts)
+    assert counts.tolist() == [[sum(longest(coded(t)[i : i + 64], coded(samples[k])) for i in range(0, len(coded(t)), 64)) for t in texts] for k in sorted(scripts)]
+
+
 def test_held_out_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.predict(docs.withColumn("held", held_out(docs.doc_id)), langid.samples(docs)).where("held").toPandas()
