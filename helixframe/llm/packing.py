@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from itertools import accumulate, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import store, worker_cache
+from helixframe.llm.common import forget, store, worker_cache
 from helixframe.llm.tokens import encoder
 
-PIECES = "doc_id bigint, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, round bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, source string, round bigint"
 
 
 #: Fixed values of the published tokenizer whose words are cut here; any other goes to the library word by word.
@@ -110,58 +110,98 @@ class Schedule:
     """Where the tokens of each source go. totals: tokens of each queue; weights: integer shares."""
 
     def __init__(self, totals: list[int], weights: list[int], window: int, round_windows: int):
-        self.totals, self.weights, self.window, self.per_round = totals, weights, window, window * round_windows
+        self.window, self.per_round = window, window * round_windows
         self.weight, self.tokens = sum(weights), sum(totals)
-        self.phases = [(s * 0x9E3779B97F4A7C15 % (1 << 64)) * self.weight >> 64 for s in range(len(weights))]
-        self._served: dict[int, tuple[list[int], list[int]]] = {}
-
-    def due(self, s: int, r: int) -> int:
+        # 64-bit integers where no product can pass them, Python's own otherwise
+        rounds = max((t * self.weight // (self.per_round * w) for t, w in zip(totals, weights, strict=True)), default=0) + 2
+        small = max(self.tokens, (rounds + 1) * self.per_round * max(weights, default=1) + self.weight) < 1 << 62
+        kind = np.int64 if small else object
+        self.totals, self.weights = np.array(totals, kind), np.array(weights, kind)
+        self.phases = np.array([(s * 0x9E3779B97F4A7C15 % (1 << 64)) * self.weight >> 64 for s in range(len(weights))], kind)
+
+    def due(self, s: int, r):
+        """Tokens of source s that are due before round r, however many it has."""
         return (r * self.per_round * self.weights[s] + self.phases[s]) // self.weight
 
-    def served(self, r: int) -> tuple[list[int], list[int]]:
-        """Tokens of each source served before round r, and where its part of the round starts in the packed stream."""
-        if r not in self._served:
-            if len(self._served) > 4096 or len(self._served) * len(self.totals) > 1 << 20:
-                self._served.clear()
-            a, b = ([min(t, self.due(s, q)) for s, t in enumerate(self.totals)] for q in (r, r + 1))
-            self._served[r] = a, list(accumulate((y - x for x, y in zip(a, b, strict=True)), initial=sum(a)))
-        return self._served[r]
-
     def round_of(self, s: int, x: int) -> int:
         """The round that serves token x of source s: the last r with due(s, r) <= x."""
-        r = x * self.weight // (self.per_round * self.weights[s])
-        while self.due(s, r) > x:
+        r = int(x) * self.weight // (self.per_round * int(self.weights[s]))
+        while int(self.due(s, r)) > x:
             r -= 1
-        while self.due(s, r + 1) <= x:
+        while int(self.due(s, r + 1)) <= x:
             r += 1
         return r
 
-    def runs(self, s: int, x0: int, x1: int):
-        """(round, queue position, position in the packed stream, length) of tokens x0 up to x1 of source s."""
-        while x0 < x1:
-            r = self.round_of(s, x0)
-            a, starts = self.served(r)
-            end = min(x1, self.due(s, r + 1))
-            yield r, x0, starts[s] + x0 - a[s], end - x0
-            x0 = end
-
-    def padded(self, sequence: int) -> int:
-        """Length of a sequence with its padding: the last may end at a power of two."""
-        left = self.tokens - sequence * self.window
-        return self.window if left >= self.window else min(self.window, 1 << max(0, left - 1).bit_length())
-
-
-def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, targets: dict[str, int] | None = None, round_windows: int = 1, max_sources: int = 1024, with_ids: bool = False) -> DataFrame:
-    """One row per piece of a document: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, round; ids too if asked for.
+    def starts(self, s: int, r0: int, r1: int) -> tuple[np.ndarray, np.ndarray]:
+        """For rounds r0 up to r1: tokens of s served before each, and where its part of each starts in the packed stream."""
+        first, place = [], []
+        step = max(1, (1 << 18) // len(self.totals))
+        for a in range(r0, r1, step):
+            r = np.arange(a, min(a + step, r1) + 1).astype(self.weights.dtype)
+            served = np.minimum(self.totals, (r[:, None] * self.per_round * self.weights + self.phases) // self.weight)
+            first.append(served[:-1, s])
+            # all sources' tokens of the rounds before, and this round's of the sources before s
+            place.append(served[:-1].sum(axis=1) + (served[1:, :s] - served[:-1, :s]).sum(axis=1))
+        return np.concatenate(first), np.concatenate(place)
+
+    def pieces(self, s: int, cuts: np.ndarray):
+        """(round, queue position, position in the packed stream, length) of the tokens cuts[0] up to cuts[-1] of source s,
+        cut at all of `cuts`, at the ends of rounds and at the ends of windows.
+        """
+        x0, x1 = int(cuts[0]), int(cuts[-1])
+        r0, r1 = self.round_of(s, x0), self.round_of(s, x1 - 1)
+        served, place = self.starts(s, r0, r1 + 1)
+        at = np.unique(np.concatenate((cuts[:-1], served[(served > x0) & (served < x1)])).astype(np.int64))
+        r = np.searchsorted(served.astype(np.int64), at, "right") - 1
+        g = (place[r] + at - served[r]).astype(np.int64)
+        size = np.diff(np.append(at, x1))
+        more = (g % self.window + size - 1) // self.window  # window ends inside
+        n = np.arange(int(more.sum() + len(more))) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+        skip = np.where(n > 0, n * self.window - np.repeat(g % self.window, more + 1), 0)
+        ends = np.minimum((n + 1) * self.window - np.repeat(g % self.window, more + 1), np.repeat(size, more + 1))
+        return np.repeat(r, more + 1) + r0, np.repeat(at, more + 1) + skip, np.repeat(g, more + 1) + skip, ends - skip
+
+    def padded(self, sequences: np.ndarray) -> np.ndarray:
+        """Lengths of sequences with their padding: the last may end at a power of two."""
+        left = self.tokens - sequences * self.window
+        tail = min(self.window, 1 << max(0, int(self.tokens % self.window or self.window) - 1).bit_length())
+        return np.where(left >= self.window, self.window, tail)
+
+
+def queues_of(sums: DataFrame, targets: dict[str, int] | None, most: int) -> tuple[dict, list[int], list[int]]:
+    """Source -> queue, and the tokens and weight of each queue.
+
+    Sources named in `targets` and the `most` with most tokens have queues of their own.
+    Any others share the last one, whose weight is the sum of theirs.
+    """
+    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    names = [str(k) for k in targets or ()]
+    own = {r["source"]: r["n"] for r in by_source.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(most).collect()}
+    for a in range(0, len(names), 1000):
+        own |= {r["source"]: r["n"] for r in by_source.where(F.col("source").isin(names[a : a + 1000])).collect()}
+    order = sorted(own, key=lambda k: (-own[k], k is not None, k or ""))
+    rest = by_source.agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()
+    totals = [own[k] for k in order]
+    weights = list(totals) if targets is None else [max(1, int(targets.get(k, 1))) for k in order]
+    left = (rest["n"] or 0) - sum(totals)
+    if left:
+        totals.append(left)
+        weights.append(left if targets is None else rest["k"] - len(order))
+    return {k: i for i, k in enumerate(order)}, totals, weights
+
+
+def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, targets: dict[str, int] | None = None, round_windows: int = 1, max_sources: int = 65_536, with_ids: bool = False) -> DataFrame:
+    """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, source, round; ids too if asked for.
 
     Every document ends with `end_id`; null or empty texts are that id alone.
     targets: integer weight of each source (others: 1); by default each source's
     share of all tokens, so that all queues end together. A queue that ends
     leaves its share of later rounds to the others. With `round_windows` above 1
-    the shares hold for so many windows together, not for each. The `max_sources` - 1 sources
-    with most tokens and the null source have queues of their own; any further ones
-    share one queue, so the schedule has a proven bound. Repeated rows
-    are packed as often as they occur. An empty table gives no pieces.
+    the shares hold for so many windows together, not for each. Every source, null
+    among them, has a queue of its own, which bounds what the schedule holds by their number;
+    beyond `max_sources` of them, those with least tokens and no target share one queue that has the sum of
+    their shares. Repeated rows are packed as often as they occur, texts of any length whole, other
+    columns are ignored. An empty table gives no pieces.
     """
     spark = docs.sparkSession
 
@@ -180,45 +220,66 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, target
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    coded = store(rows.mapInArrow(tokenise, "part int, doc_id bigint, source string, n bigint, at bigint, ids binary"), "packing-ids")
-    spark.conf.unset("spark.sql.parquet.compression.codec")
-
+    coded = store(rows.mapInArrow(tokenise, "part int, doc_id bigint, source string, n bigint, at bigint, ids binary"), "packing-ids", compression="zstd")
     sums = store(coded.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-sums")
-    largest = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(max_sources - 1).collect()
-    own = {r["source"]: i for i, r in enumerate(largest)}
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    totals = [r["n"] for r in largest] + [total - sum(r["n"] for r in largest)]
-    names = [r["source"] for r in largest] + [None]
-    weights = [max(1, t) for t in totals] if targets is None else [max(1, int(targets.get(n, 1))) for n in names]
+    own, totals, weights = queues_of(sums, targets, max_sources)
+    kind = PIECES + (", ids binary" if with_ids else "")
+    if not own:
+        return spark.createDataFrame([], kind)
     plan = Schedule(totals, weights, window, round_windows)
-
-    queues = spark.createDataFrame([(s, i) for s, i in own.items()], "q_source string, queue int") if own else None
-    if queues is None:
-        return spark.createDataFrame([], PIECES + (", ids binary" if with_ids else ""))
-    sums = sums.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("q_source")), "left").withColumn("queue", F.coalesce("queue", F.lit(len(names) - 1)))
-    before = Window.partitionBy("queue").orderBy("part", F.asc_nulls_first("source")).rowsBetween(Window.unboundedPreceding, -1)
-    bases = store(sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("part").alias("b_part"), F.col("source").alias("b_source"), "queue", "base"), "packing-bases")
+    # at most max_sources rows and those of the targets' names
+    queues = spark.createDataFrame([(s, i) for s, i in own.items()], "q_source string, queue int")
+    queued = sums.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("q_source")), "left").withColumn("queue", F.coalesce("queue", F.lit(len(own))))
+    bases = store(running(queued.drop("q_source")).select(F.col("part").alias("b_part"), F.col("source").alias("b_source"), "queue", "base"), "packing-bases")
 
     def cut(batches):
+        names_ = [c.split()[0] for c in kind.split(", ")]
+        kinds = {"source": pa.string(), "ids": pa.binary()}
         for b in batches:
-            out = [[] for _ in range(11)]
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "source", "n", "at", "queue", "base")]
+            if not b.num_rows:
+                continue
+            n, at, queue, base = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "at", "queue", "base"))
+            x0 = base + at
+            # rows whose tokens follow each other in one queue are cut together
+            order = np.lexsort((x0, queue))
+            ahead = np.append(True, (queue[order][1:] != queue[order][:-1]) | (x0[order][1:] != (x0 + n)[order][:-1]))
+            parts = [[] for _ in range(6)]
+            for run in np.split(order, np.flatnonzero(ahead)[1:]):
+                cuts = np.append(x0[run], x0[run[-1]] + n[run[-1]])
+                r, x, g, size = plan.pieces(int(queue[run[0]]), cuts)
+                row = run[np.searchsorted(cuts, x, "right") - 1]
+                for column, v in zip(parts, (row, x - x0[row], size, g // window, g % window, r), strict=True):
+                    column.append(v)
+            row, start, size, sequence, offset, r = (np.concatenate(v).astype(np.int64) for v in parts)
             blobs = b.column("ids")
-            for i, (doc, source, n, at, queue, base) in enumerate(zip(*cols, strict=True)):
-                ids, x0 = memoryview(blobs[i].as_buffer()), base + at
-                for r, x, g, size in plan.runs(queue, x0, x0 + n):
-                    while size:
-                        take = min(size, window - g % window)
-                        piece = ids[(x - x0) * 4 : (x - x0 + take) * 4]
-                        row = (doc, source, x - x0, take, zlib.crc32(piece), n, g // window, g % window, plan.padded(g // window), r, bytes(piece) if with_ids else None)
-                        for column, v in zip(out, row, strict=True):
-                            column.append(v)
-                        x, g, size = x + take, g + take, size - take
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 8, pa.binary()]
-            names_ = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "round", "ids"]
-            k = 11 if with_ids else 10
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:k], kinds[:k], strict=True)], names=names_[:k])
+            views = [memoryview(blobs[i].as_buffer()) for i in range(b.num_rows)]
+            crc, where = zlib.crc32, list(zip(row.tolist(), (4 * start).tolist(), (4 * (start + size)).tolist(), strict=True))
+            made = {"start": start, "length": size, "ids_crc32": [crc(views[i][a:z]) for i, a, z in where], "doc_tokens": n[row], "sequence_id": sequence, "offset": offset, "sequence_length": plan.padded(sequence), "round": r}
+            if with_ids:
+                made["ids"] = [bytes(views[i][a:z]) for i, a, z in where]
+            for c in ("doc_id", "source"):
+                made[c] = b.column(c).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([made[c] if c in ("doc_id", "source") else pa.array(made[c], kinds.get(c, pa.int64())) for c in names_], names=names_)
 
     placed = coded.join(bases, (F.col("part") == F.col("b_part")) & F.col("source").eqNullSafe(F.col("b_source")))
-    return placed.select("doc_id", "source", "n", "at", "queue", "base", "ids").mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))
+    out = placed.select("doc_id", "source", "n", "at", "queue", "base", "ids").mapInArrow(cut, kind)
+    if with_ids:
+        return out
+    out = store(out, "packing-pieces", compression="zstd")
+    forget(coded, sums, bases)
+    return out
+
+
+def running(sums: DataFrame, block: int = 1000) -> DataFrame:
+    """sums (part, source, queue, n) with base, the tokens of the queue before a row, by part and source.
+
+    A hot queue has a row for each partition and source. They are summed by blocks
+    of partitions first, so a task orders a block's rows or one row a block.
+    """
+    cut = sums.withColumn("block", F.floor(F.col("part") / block))
+    blocks = cut.groupBy("queue", "block").agg(F.sum("n").alias("s"))
+    over = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("queue").alias("q"), F.col("block").alias("b"), F.coalesce(F.sum("s").over(over), F.lit(0)).alias("s"))
+    inner = Window.partitionBy("queue", "block").orderBy("part", F.asc_nulls_first("source")).rowsBetween(Window.unboundedPreceding, -1)
+    within = cut.withColumn("base", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    return within.join(blocks, (F.col("queue") == F.col("q")) & (F.col("block") == F.col("b"))).withColumn("base", F.col("base") + F.col("s")).drop("q", "b", "s", "block")

@@ -110,13 +110,18 @@ def test_every_round_has_the_target_shares(spark):
     assert len(full) and (abs(full["sum(length)"] - 8 * 2048 * full.source.map(share)) <= 1).all()
 
 
-def test_targets_and_shared_queue(spark):
+def test_targets_are_never_lost(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = packing.pack(docs, path, targets={"src0": 5}, round_windows=4).where("round = 0").groupBy("source").sum("length").toPandas().set_index("source")["sum(length)"]
-    assert abs(got["src0"] - 5 * got["src1"]) <= 5
-    few = packing.pack(docs, path, max_sources=3)
-    assert few.agg({"length": "sum"}).first()[0] == packing.pack(docs, path).agg({"length": "sum"}).first()[0]
+    for most in (3, 65_536):
+        got = packing.pack(docs, path, targets={"src0": 8, "src9": 8}, round_windows=4, max_sources=most).groupBy("round", "source").sum("length").toPandas()
+        first = got[got["round"] == 0].set_index("source")["sum(length)"]
+        n = docs.select("source").distinct().count()
+        want = 4 * 2048 * 8 / (n + 14)
+        assert abs(first["src0"] - want) <= 1 and abs(first["src9"] - want) <= 1
+        # sources that share a queue have the sum of their shares
+        assert abs(first.drop(["src0", "src9"]).sum() - (n - 2) * want / 8) <= 3
+        assert got["sum(length)"].sum() == packing.pack(docs, path).agg({"length": "sum"}).first()[0]
 
 
 def test_nothing_to_pack(spark):
@@ -141,14 +146,21 @@ def test_schedules_of_many_sources_are_whole(by_size):
     plan, places, counts = packing.Schedule(totals, weights, 256, 1), [], {}
     for s, t in enumerate(totals):
         at = 0
-        for cut in sorted({t, *(draw.randint(0, t) for _ in range(5))}):
-            for _, x, g, n in plan.runs(s, at, cut):
-                assert x == at and n > 0
+        cuts = np.array(sorted({0, t, *(draw.randint(0, t) for _ in range(5))}))
+        if t:
+            for _, x, g, n in zip(*(v.tolist() for v in plan.pieces(s, cuts)), strict=True):
+                assert x == at and n > 0 and g // 256 == (g + n - 1) // 256 and not any(x < c < x + n for c in cuts)
                 places += range(g, g + n)
                 for p in range(g, g + n):
                     counts[p // 256, s] = counts.get((p // 256, s), 0) + 1
                 at += n
-            assert at == cut
+        assert at == t
     assert sorted(places) == list(range(sum(totals)))
+    large = packing.Schedule(totals, weights, 256, 1)
+    large.totals, large.weights, large.phases = (v.astype(object) for v in (large.totals, large.weights, large.phases))
+    for s, t in enumerate(totals):
+        if t:
+            for a, b in zip(plan.pieces(s, np.array([0, t])), large.pieces(s, np.array([0, t])), strict=True):
+                assert a.tolist() == b.tolist()
     if by_size:
         assert max(abs(counts.get((r, s), 0) - 256 * t / sum(totals)) for s, t in enumerate(totals) for r in range(sum(totals) // 256)) <= 12
