@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import store, worker_cache
+from helixframe.llm.common import forget, store, worker_cache
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -26,8 +26,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 MARK = re.compile(r"[0-9@]")
-TAIL = re.compile(r"\S{0,64}")
-#: Longest identifier looked for by context, and characters of context read on either side.
+TAIL = re.compile(r"\S*")
+#: Characters that a run of digit groups may have before it is cut into several candidates; a surface of more
+#: characters stands in the graph by its digest; characters of context read on either side.
 LONGEST, REACH = 64, 48
 
 
@@ -73,7 +74,10 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like strings that no base span touches: words with a digit or @, and digit groups after them."""
+    """Identifier-like strings that no base span touches: words with a digit or @, whatever their length, and digit groups after them.
+
+    Digit groups in a row are taken together up to LONGEST characters; a longer row gives several candidates.
+    """
     found, free = [], 0
     taken = sorted(taken)
     k = 0
@@ -81,15 +85,18 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
         if m.start() < free:
             continue
         start = m.start()
-        while start > max(free, m.start() - LONGEST) and not text[start - 1].isspace():
+        while start > free and not text[start - 1].isspace():
             start -= 1
         end = TAIL.match(text, m.start()).end()
-        while end - start < LONGEST and end + 1 < len(text) and text[end] == " " and "0" <= text[end + 1] <= "9":
-            end = TAIL.match(text, end + 1).end()
+        while end + 1 < len(text) and text[end] == " " and "0" <= text[end + 1] <= "9":
+            more = TAIL.match(text, end + 1).end()
+            if more - start > LONGEST:
+                break
+            end = more
         free = end
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if k < len(taken) and taken[k][0] < end or end - start > LONGEST:
+        if k < len(taken) and taken[k][0] < end:
             continue
         while start < end and not (text[start].isalnum() or text[start] == "+"):
             start += 1
@@ -100,10 +107,15 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
     return found
 
 
-def could_be(kind: str, surface: str) -> bool:
-    """Whether a string outside the base recognisers may be of a kind at all."""
+def could_be(surface: str) -> list[str]:
+    """The kinds that a string outside the base recognisers may be of at all."""
     digits = sum("0" <= c <= "9" for c in surface)
-    return {"email": "@" in surface, "ip": digits >= 4 and ("." in surface or ":" in surface), "card": digits >= 8, "phone": digits >= 5}[kind]
+    fits = {"email": "@" in surface, "ip": digits >= 4 and ("." in surface or ":" in surface), "card": digits >= 8, "phone": digits >= 5}
+    return [k for k in KINDS if fits[k]]
+
+
+def surface_of(text: str) -> str:
+    return text if len(text) <= LONGEST else "#" + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
@@ -115,7 +127,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return [p for p in (f"L {two}", f"B {both}") if sum(map(str.isalpha, p)) >= 5]
 
 
-SCAN = "row_id bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,surface:string,patterns:array<string>>>"
+SCAN = "key bigint, key2 bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, seen array<struct<kind:string,start:int,end:int,surface:string,may:array<string>,patterns:array<string>>>"
 
 
 def joined(spans) -> str:
@@ -123,37 +135,39 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1], s[2])))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row its base spans and all graph occurrences: seeds with their kind, candidates with null."""
+def scan(docs: DataFrame, keys) -> DataFrame:
+    """Per row its base spans and all graph occurrences: seeds with their kind, candidates with null. keys: two columns that tell the rows apart."""
 
     def run(batches):
         worker_cache("pii")
         for b in batches:
             rows = []
-            for row_id, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("row_id", "doc_id", "text")), strict=True):
+            for key, key2, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("key", "key2", "doc_id", "text")), strict=True):
                 text = text or ""
                 spans = base_spans(text)
                 base = [(k, a, z) for k in KINDS for a, z in spans[k]]
-                seen = [(k, a, z) for k, a, z in base]
+                seen = [{"kind": k, "start": a, "end": z, "may": None} for k, a, z in base]
                 if base or MARK.search(text):
-                    seen += [(None, a, z) for a, z in candidates(text, [s[1:] for s in base])]
-                rows.append(
-                    {"row_id": row_id, "doc_id": doc_id, **{f"n_{k}": len(spans[k]) for k in KINDS}, "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "base": [{"kind": k, "start": a, "end": z} for k, a, z in base], "seen": [{"kind": k, "start": a, "end": z, "surface": text[a:z], "patterns": contexts(text, a, z)} for k, a, z in seen]}
-                )
+                    seen += [{"kind": None, "start": a, "end": z, "may": could_be(text[a:z])} for a, z in candidates(text, [s[1:] for s in base])]
+                for s in seen:
+                    s |= {"surface": surface_of(text[s["start"] : s["end"]]), "patterns": contexts(text, s["start"], s["end"])}
+                rows.append({"key": key, "key2": key2, "doc_id": doc_id, **{f"n_{k}": len(spans[k]) for k in KINDS}, "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "base": [{"kind": k, "start": a, "end": z} for k, a, z in base], "seen": seen})
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     span = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
     ARROW = pa.schema(
-        [("row_id", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.list_(pa.struct(span))), ("seen", pa.list_(pa.struct([*span, ("surface", pa.string()), ("patterns", pa.list_(pa.string()))])))]
+        [("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.list_(pa.struct(span))), ("seen", pa.list_(pa.struct([*span, ("surface", pa.string()), ("may", pa.list_(pa.string())), ("patterns", pa.list_(pa.string()))])))]
     )
-    return docs.select("row_id", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCAN)
+    key, key2 = keys
+    return docs.select(key.alias("key"), key2.alias("key2"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCAN)
 
 
 def trusted_patterns(scanned: DataFrame, rounds: int = 3, least_score: float = 0.6, least_support: int = 3) -> DataFrame:
     """(pattern, kind, score): score = trusted share of a pattern's distinct instances, smoothed by one unknown instance.
 
     Only patterns that some seed stands in are scored, whatever their number;
-    a pattern needs `least_support` distinct instances that are seeds.
+    a pattern needs `least_support` distinct instances that are seeds. An instance that is no seed has
+    the mean score of its patterns; equal scores go to the first kind.
     """
     seen = scanned.select(F.explode("seen").alias("s")).select("s.kind", "s.surface", F.explode("s.patterns").alias("pattern"))
     seeds = seen.where("kind is not null").select("pattern").distinct()
@@ -173,53 +187,58 @@ def trusted_patterns(scanned: DataFrame, rounds: int = 3, least_score: float = 0
     return scored.where((F.col("support") >= least_support) & (best >= least_score)).select("pattern", kind.alias("kind"), best.alias("score"))
 
 
-def added_spans(scanned: DataFrame, rounds: int, least_score: float, least_support: int) -> DataFrame:
-    """(row_id, added): the identifiers that trusted patterns find in each row."""
-    patterns = store(trusted_patterns(scanned, rounds, least_score, least_support), "pii-patterns")
-    seen = scanned.select("row_id", F.explode("seen").alias("s")).where("s.kind is null").select("row_id", "s.start", "s.end", "s.surface", F.explode("s.patterns").alias("pattern"))
-    digits = F.length(F.regexp_replace("surface", "[^0-9]", ""))
-    fits = F.when(F.col("kind") == "email", F.col("surface").contains("@")).when(F.col("kind") == "ip", (digits >= 4) & (F.col("surface").contains(".") | F.col("surface").contains(":"))).when(F.col("kind") == "card", digits >= 8).otherwise(digits >= 5)
-    hits = seen.join(patterns, "pattern").where(fits).groupBy("row_id", "start", "end").agg(F.max(F.struct("score", (-F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))).alias("o"), "kind")).alias("b"))
-    return hits.groupBy("row_id").agg(F.collect_list(F.struct(F.col("b.kind").alias("kind"), "start", "end", F.col("b.score").alias("score"))).alias("added"))
+def added_spans(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(key, key2, added): the identifiers that trusted patterns find in each row."""
+    seen = scanned.select("key", "key2", F.explode("seen").alias("s")).where("s.kind is null").select("key", "key2", "s.start", "s.end", "s.may", F.explode("s.patterns").alias("pattern"))
+    order = F.array(*map(F.lit, KINDS))
+    hits = seen.join(patterns, "pattern").where(F.expr("array_contains(may, kind)")).groupBy("key", "key2", "start", "end").agg(F.max(F.struct("score", (-F.array_position(order, F.col("kind"))).alias("o"), "kind")).alias("b"))
+    return hits.groupBy("key", "key2").agg(F.collect_list(F.struct(F.col("b.kind").alias("kind"), "start", "end", F.col("b.score").alias("score"))).alias("added"))
 
 
 def find(docs: DataFrame, rounds: int = 3, least_score: float = 0.6, least_support: int = 3) -> DataFrame:
-    """row_id, doc_id, counts of base spans by kind, base_sha256, spans (text) and found (array of kind, start, end, score); one row per row of docs.
+    """doc_id, counts of base spans by kind, base_sha256, spans (text) and found (array of kind, start, end, score); one row per row of docs.
 
-    Base spans have score 1. Offsets are code points, ends exclusive. Null texts count
-    as empty. An identifier that stands in several patterns takes the best, then the first kind.
-    Repeated rows are kept, extra columns ignored; an empty table gives no rows.
+    Base spans have score 1. Offsets are code points, ends exclusive. Null and empty texts
+    have no span; long ones are read whole. An identifier that stands in several patterns takes the best, then the first kind.
+    Repeated rows are kept, columns but doc_id and text are ignored whatever their names; an empty table gives no rows.
     """
-    rows = docs if "row_id" in docs.columns and docs.columns[-1] == "row_id" else docs.drop("row_id").withColumn("row_id", F.monotonically_increasing_id())
-    scanned = store(scan(rows), "pii-scan")
-    added = added_spans(scanned, rounds, least_score, least_support)
+    scanned = store(scan(docs, (F.monotonically_increasing_id(), F.lit(0).cast("bigint"))), "pii-scan")
+    patterns = store(trusted_patterns(scanned, rounds, least_score, least_support), "pii-patterns")
+    added = added_spans(scanned, patterns)
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1.0).alias("score")))
-    full = scanned.join(added, "row_id", "left").withColumn("found", F.when(F.col("added").isNull(), base).otherwise(F.concat(base, F.col("added"))))
+    full = scanned.join(added, ["key", "key2"], "left").withColumn("found", F.when(F.col("added").isNull(), base).otherwise(F.concat(base, F.col("added"))))
     order = F.array(*map(F.lit, KINDS))
     ranked = F.array_sort(F.transform("found", lambda s: F.struct(F.array_position(order, s["kind"]).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return full.select("row_id", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", text.alias("spans"), "found")
+    return full.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", text.alias("spans"), "found")
 
 
 def mask(docs: DataFrame, rounds: int = 3, least_score: float = 0.6, least_support: int = 3) -> DataFrame:
-    """docs with every found span of text replaced by its kind in angle brackets; null texts stay null, n_chars follows.
+    """docs with every found span of text replaced by its kind in angle brackets, and n_chars, if there is one, that of the new text.
 
-    Overlapping spans are replaced as one, under the kind that starts first.
+    What is found depends on a text alone, so rows meet their added spans by two hashes of the text and nothing is
+    numbered or copied. Overlapping spans are replaced as one, under the kind that starts first. Null texts stay null, empty
+    ones empty; repeated rows are kept. Other columns come back as they were, whatever their names; an empty table gives no rows.
     """
-    numbered = store(docs.drop("row_id").withColumn("row_id", F.monotonically_increasing_id()), "pii-rows")
-    scanned = store(scan(numbered), "pii-scan")
-    added = store(added_spans(scanned, rounds, least_score, least_support).withColumnRenamed("row_id", "r"), "pii-added")
-    both = numbered.join(added, numbered.row_id == added.r, "left").drop("r", "row_id")
-    schema = docs.schema
+    keys = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    scanned = store(scan(docs, keys), "pii-scan")
+    patterns = store(trusted_patterns(scanned, rounds, least_score, least_support), "pii-patterns")
+    taken = {c.lower() for c in docs.columns}
+    a, b, c = (next(n for n in (f"{x}{'_' * i}" for i in range(1, len(taken) + 2)) if n not in taken) for x in ("key_a", "key_b", "added"))
+    added = store(added_spans(scanned, patterns).select(F.col("key").alias(f"{a}x"), F.col("key2").alias(f"{b}x"), F.col("added").alias(c)), "pii-added")
+    forget(scanned, patterns)
+    names, schema = docs.columns, docs.schema
+    keyed = docs.select("*", keys[0].alias(a), keys[1].alias(b))
+    both = keyed.join(added, (F.col(a) == F.col(f"{a}x")) & (F.col(b) == F.col(f"{b}x")), "left").select(*(F.col(f"`{n}`") for n in names), c)
 
     def run(batches):
-        for b in batches:
+        for batch in batches:
             texts = []
-            for t, more in zip(b.column("text").to_pylist(), b.column("added").to_pylist(), strict=True):
-                spans = [(a, z, k) for k, found in base_spans(t).items() for a, z in found] if t else []
+            for t, more in zip(batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                spans = [(i, j, k) for k, found in base_spans(t).items() for i, j in found] if t else []
                 texts.append(cover(t, spans + [(s["start"], s["end"], s["kind"]) for s in more or ()]))
-            made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else b.column(f.name) for f in schema], names=[f.name for f in schema])
+            made = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+            yield pa.RecordBatch.from_arrays([pa.array(made[n], batch.column(i).type) if n in made else batch.column(i) for i, n in enumerate(names)], names=names)
 
     return both.mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixframe.llm import decontaminate, langid, pii, quality, toxicity
@@ -59,10 +60,74 @@ def test_patterns_find_unseen_identifiers(spark):
     assert masked[50] == "my phone number <PHONE> today" and masked[0] == "my phone number <PHONE> today" and masked[51] == rows[9][1]
 
 
+def test_long_identifiers_and_rows_of_numbers_are_candidates():
+    for text in ("my key " + "a1" * 500 + " end", "n " + " ".join(["12345"] * 40), "x " * 100 + "9" * 3000):
+        found = pii.candidates(text, [])
+        covered = {i for a, z in found for i in range(a, z)}
+        assert covered >= {i for i, c in enumerate(text) if c.isdigit()}
+        assert all(z - a <= pii.LONGEST or " " not in text[a:z] for a, z in found)
+    assert len(pii.surface_of("a1" * 500)) == 65 and pii.could_be("12345") == ["phone"]
+
+
+def brute_patterns(texts, rounds, least_score, least_support):
+    """The graph's scores by plain loops over dictionaries."""
+    own = {}
+    for t in texts:
+        spans = [(k, a, z) for k, found in pii.base_spans(t or "").items() for a, z in found]
+        for k, a, z in spans + [(None, a, z) for a, z in pii.candidates(t or "", [s[1:] for s in spans])]:
+            for p in pii.contexts(t, a, z):
+                own.setdefault((p, t[a:z]), set()).add(k)
+    seeded = {p for (p, _), kinds in own.items() if kinds - {None}}
+    own = {e: kinds for e, kinds in own.items() if e[0] in seeded}
+    value = {e: {k: float(k in kinds) for k in pii.KINDS} for e, kinds in own.items()}
+    for i in range(rounds):
+        score = {}
+        for p in seeded:
+            mine = [v for (q, _), v in value.items() if q == p]
+            score[p] = {k: sum(v[k] for v in mine) / (len(mine) + 1) for k in pii.KINDS}
+        if i < rounds - 1:
+            for e, kinds in own.items():
+                if not kinds - {None}:
+                    mine = [p for p, s in own if s == e[1]]
+                    value[e] = {k: sum(score[p][k] for p in mine) / len(mine) for k in pii.KINDS}
+    out = {}
+    for p in seeded:
+        k = max(pii.KINDS, key=lambda k: score[p][k])
+        if sum(bool(kinds - {None}) for (q, _), kinds in own.items() if q == p) >= least_support and score[p][k] >= least_score:
+            out[p] = (k, score[p][k])
+    return out
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_graph_scores_by_brute_force(spark, rounds):
+    draw = np.random.default_rng(3)
+    said = ["please call me on", "my number is", "write to me at", "seen in the year", "card of mine is"]
+    forms = [lambda: f"+1 555 010 {draw.integers(10, 30)}", lambda: f"a{draw.integers(5)}@b.co", lambda: f"{draw.integers(100, 130)} 0199 {draw.integers(2)}", lambda: "4111 1111 1111 1111", lambda: f"{draw.integers(1900, 1910)}"]
+    texts = [f"{said[draw.integers(5)]} {forms[draw.integers(5)]()} {'today' if draw.integers(2) else 'or later'} I hope" for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    scanned = pii.scan(docs, (docs.doc_id, docs.doc_id))
+    got = {r.pattern: (r.kind, r.score) for r in pii.trusted_patterns(scanned, rounds, 0.3, 3).collect()}
+    want = brute_patterns(texts, rounds, 0.3, 3)
+    assert want and got.keys() == want.keys()
+    assert all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1]) for p in want)
+
+
 def test_pii_of_odd_rows(spark):
-    assert pii.find(odd(spark)).count() == len(ODD) and pii.find(odd(spark).limit(0)).count() == 0
-    kept = pii.mask(odd(spark).drop("score", "kind", "row_id"))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.where("text is null").count() == 1
+    docs = odd(spark)
+    want = sorted((str(i), ",".join(brute_spans(t or ""))) for i, t in ODD)
+    assert sorted((str(r.doc_id), r.spans) for r in pii.find(docs).collect()) == want and pii.find(docs.limit(0)).count() == 0
+    clashing = docs.withColumns({c: F.lit(1) for c in ("r", "added", "key", "key2", "added_", "key_a_", "found", "spans")})
+    kept = pii.mask(clashing)
+    assert kept.schema == clashing.schema and kept.where("added = 1 and kind = 'k' and row_id = 1 and key = 1").count() == len(ODD)
+    masked = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert masked == sorted((str(i), str(t.replace("a@b.c", "<EMAIL>") if t else t)) for i, t in ODD)
+    assert pii.mask(clashing.limit(0)).count() == 0
+
+
+def test_no_span_leaves_its_row(spark):
+    seen = [(i, f"my phone number +1 (555) 555-01{i:02d} today", 1) for i in range(8)] + [(50, "my phone number 555 0199 22 today", 1), (51, "in year 1984 55 nothing", 1)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(seen, "doc_id bigint, text string, row_id bigint")).collect()}
+    assert got == {i: ",".join(brute_spans(t)) for i, t, _ in seen[:8]} | {50: "phone:16:27", 51: ""}
 
 
 def phrases(text, sample, parser):
