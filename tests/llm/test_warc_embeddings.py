@@ -79,7 +79,7 @@ def brute(rows, cosine=0.95):
     return {i: (len(links[i]), comp[i], comp[i] == i) for i in links}
 
 
-@pytest.mark.parametrize("chunk", [2048, 16])
+@pytest.mark.parametrize("chunk", [1 << 30, 16])
 def test_links_against_all_pairs(spark, chunk):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((25, 16))
@@ -99,3 +99,28 @@ def test_repeated_and_null_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (None, None)]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == [("1", 2, "1", True), ("1", 2, "1", True), ("None", 0, "None", False), ("None", 2, "1", False)]
+
+
+def test_thousands_of_different_near_copies_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    near = rng.standard_normal(24) + 0.02 * rng.standard_normal((3000, 24))
+    far = rng.standard_normal((300, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((near, far)).astype(np.float32))]
+    monkeypatch.setattr(embeddings, "CHUNK_BYTES", 32 << 10)
+    monkeypatch.setattr(embeddings, "UNIT_BYTES", 256 << 10)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), recall=0.9).collect()}
+    assert all(got[i] == (2999, 0) for i in range(3000)) and all(got[i] == (0, i) for i in range(3000, 3300))
+
+
+def test_recall_at_the_bound():
+    """Planted pairs just above the bound, among 20,000 others: at least 0.9 of them share a signature in some table."""
+    rng = np.random.default_rng(9)
+    bits, tables = embeddings.plan_tables(20_000, 0.95, 0.999)
+    a = rng.standard_normal((2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * b
+    met = (embeddings.signatures(a, bits, tables) == embeddings.signatures(b, bits, tables)).any(axis=1)
+    assert met.mean() >= 0.99
