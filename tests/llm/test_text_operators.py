@@ -238,6 +238,7 @@ def test_truncated_items_are_found(spark):
 
 def test_multi_index_misses_nothing_in_the_radius():
     items = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(20))) for i in range(40)]
+    items = [(i, 20, decontaminate.shingle_hashes(decontaminate.word_hashes(t), 5).tobytes()) for i, t in items]
     index = decontaminate.Index(items, 5, 0.8, 20, 7)
     rng = np.random.default_rng(1)
     for fp in [g[2] ^ sum(1 << int(b) for b in rng.choice(64, 20, replace=False)) for g in index.sizes[20]]:
@@ -248,7 +249,41 @@ def test_decontamination_of_odd_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "the cat"), (3, "the cat")], "item_id bigint, text string")
     got = decontaminate.find_matches(odd(spark), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(None, 3)}
-    assert decontaminate.find_matches(odd(spark), bench.limit(0)).count() == 0 and decontaminate.clean(odd(spark), bench).count() == len(ODD) - 1
+    clashing = odd(spark).withColumns({c: F.lit(1) for c in ("key", "dirty_a", "item_id", "docs", "pass_")})
+    kept = decontaminate.clean(clashing, bench)
+    assert decontaminate.find_matches(clashing, bench.limit(0)).count() == 0 and kept.count() == len(ODD) - 1 and kept.columns == clashing.columns
+    assert decontaminate.clean(clashing, bench.limit(0)).count() == len(ODD) and decontaminate.clean(clashing.limit(0), bench).count() == 0
+
+
+def test_packed_bitmaps_and_stretches_lose_nothing():
+    rng = np.random.default_rng(2)
+    own = rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 5000, np.uint64)
+    flat, bits = np.zeros(1 << 24, bool), 24
+    flat[own >> np.uint64(40)] = True
+    other = np.concatenate((own[:100], rng.integers(0, 1 << 63, 3000, np.uint64)))
+    assert (decontaminate.marked(np.packbits(flat), bits, other) == decontaminate.marked(flat, bits, other)).all()
+    words = decontaminate.word_hashes(" ".join(f"w{i}" for i in range(200)))
+    h = decontaminate.shingle_hashes(words, 5)
+    known = np.zeros(1 << 24, bool)
+    known[h[50:90] >> np.uint64(40)] = True
+    known[h[120] >> np.uint64(40)] = True
+    ((k, first, data),) = decontaminate.stretches_of(words, {5: known}, 24, {5: 4}, {5: 9})
+    assert (k, first, len(data) // 8) == (5, 46, 48) and np.frombuffer(data, np.uint64).tolist() == h[46:94].tolist()
+
+
+def test_edited_items_near_the_bound(spark):
+    """Items with words changed so that 0.80 to 0.85 of similarity is left: SimHash finds nearly all of them."""
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "sen") for b in ("ra", "bo", "nil", "dus", "fe", "go")]
+    items = {i: list(rng.choice(words, 100)) for i in range(300)}
+    edited = {i: [*w[:30], "changed", *w[31:]] for i, w in items.items()}
+    edited = {i: [*w[:60], "altered", *w[61:]] if similarity(zip(*(w[a:] for a in range(5))), zip(*(items[i][a:] for a in range(5)))) > 0.88 else w for i, w in edited.items()}
+    near = {i for i, w in edited.items() if 0.8 <= similarity(zip(*(w[a:] for a in range(5))), zip(*(items[i][a:] for a in range(5)))) <= 0.85}
+    docs = spark.createDataFrame([(i, " ".join(["it", "goes", *w, "so", "on"])) for i, w in edited.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    got = {r.doc_id for r in decontaminate.find_matches(docs, bench).collect() if r.doc_id == r.item_id}
+    print("found near the bound:", len(near & got), "of", len(near))
+    assert len(near) > 100 and len(near & got) >= 0.97 * len(near)
 
 
 def test_ordinal_gradient_and_order():
