@@ -35,7 +35,7 @@ def test_round_trip(spark, tmp_path):
 def test_payloads_and_small_ones(spark):
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
     path = scratch(spark, "test-warc")
-    warc.write(pages, path, least_bytes=5, records_per_file=4)
+    warc.write(pages, path, least_bytes=5, file_bytes=1)
     records = warc.read(spark, path)
     captures = {int(r.metadata.fields.split()[1]): r for r in warc.assemble(records).collect()}
     assert {k: bytes(r.main.payload) for k, r in captures.items()} == {i: (h or "").encode() for i, _, h in PAGES}
@@ -65,6 +65,27 @@ def test_foreign_archives_by_two_hops_and_gzip(spark, tmp_path):
         list(warc.parse(data[1][:-8]))
 
 
+def test_pieces_of_any_size_give_the_same_records(monkeypatch):
+    data = [record("response", f"r{i}", bytes([65 + i % 26]) * (i * 37 % 5000)) for i in range(60)]
+    whole = [(h["warc-record-id"][0], b) for h, b in warc.parse(b"".join(data))]
+    plain = warc.inflated
+    for archive in (b"".join(data), gzip.compress(b"".join(data)), b"".join(map(gzip.compress, data))):
+        for step, most in ((7, 5), (100, 4096), (1 << 18, 4 << 20)):
+            monkeypatch.setattr(warc, "inflated", lambda d, s=step, m=most: plain(d, s, m))
+            assert [(h["warc-record-id"][0], b) for h, b in warc.parse(archive)] == whole
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse(gzip.compress(b"".join(data))[:-20]))
+
+
+def test_long_pages_have_files_of_their_own(spark, tmp_path):
+    rows = [(i, "u", chr(97 + i) * n) for i, n in enumerate((10, 20, 1 << 17, 1 << 18, 1 << 21, 17 << 20))]
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), str(tmp_path / "w"), file_bytes=1 << 20)
+    sizes = sorted([len(r.main.payload), r.main.payload_bytes] for r in warc.assemble(warc.read(spark, str(tmp_path / "w"))).collect())
+    assert sizes == [[len(h)] * 2 for _, _, h in rows]
+    files = [sum(len(b) for _, b in warc.parse(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")]
+    assert len(files) >= 5 and all(n < (1 << 20) + 5000 or n > 1 << 20 for n in files)
+
+
 def brute(rows, cosine=0.95):
     good = {i: np.array(v, float) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = {i: {j for j in good if j != i and len(good[i]) == len(good[j]) and good[i] @ good[j] / np.sqrt((good[i] @ good[i]) * (good[j] @ good[j])) >= cosine} if i in good else set() for i, _ in rows}
