@@ -184,8 +184,8 @@ def predict(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
 
     lang_pred is a learned value, `und` with score 0 where the text is null, empty or has no letter,
     or where nothing could be learned. Equal costs go to the first language in
-    alphabetical order. Repeated rows are kept. The score is the winner's share
-    of exp(-4 * bits per symbol).
+    alphabetical order. Texts of any length are parsed whole. Repeated rows are kept, an empty table gives no rows. The score
+    is the winner's share of exp(-4 * bits per symbol).
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")

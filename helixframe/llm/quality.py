@@ -56,6 +56,27 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -40, 40)))
 
 
+def cut_points(start: float, gaps: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, and the logarithms of the distances between them."""
+    return start + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
+
+
+def likelihood(weights: np.ndarray, start: float, gaps: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, decay: float):
+    """Mean negative log-likelihood of the grades y with decay / 2 * weights ** 2, and its gradients by weights, start and gaps."""
+    n, each = len(y), np.arange(len(y))
+    thresholds = cut_points(start, gaps)
+    s = np.bincount(rows, weights[cols] * values, n)
+    above = 1 / (1 + np.exp(np.clip(thresholds[None, :] - s[:, None], -40, 40)))
+    full = np.concatenate((np.ones((n, 1)), above, np.zeros((n, 1))), axis=1)
+    p = np.maximum(full[each, y] - full[each, y + 1], 1e-9)
+    slope = full * (1 - full)
+    up, down = slope[each, y] / p, slope[each, y + 1] / p
+    by_threshold = np.array([up[y == k + 1].sum() - down[y == k].sum() for k in range(len(thresholds))]) / n
+    by_weight = np.bincount(cols, (down - up)[rows] * values, len(weights)) / n + decay * weights
+    by_gap = np.array([by_threshold[k + 1 :].sum() for k in range(len(gaps))]) * np.exp(gaps)
+    return -np.log(p).mean() + decay / 2 * (weights @ weights), by_weight, by_threshold.sum(), by_gap
+
+
 def fit(texts: list[str], grades: list[int], levels: int = 3, dims: int = 1 << 16, steps: int = 150, decay: float = 1e-4, rate: float = 0.3) -> Model:
     """Full-batch AdaGrad on the likelihood; without rows every grade is alike."""
     cols, rows, values = [], [], []
@@ -66,33 +87,18 @@ def fit(texts: list[str], grades: list[int], levels: int = 3, dims: int = 1 << 1
         cols.append(at)
         rows.append(np.full(len(at), i))
         values.append(n / max(1, len(words)))
-    weights, start, gaps = np.zeros(dims), -1.0, np.zeros(levels - 2)
     y = np.array(grades, np.int64)
     if not len(y):
-        return Model(weights, np.linspace(-1, 1, levels - 1))
+        return Model(np.zeros(dims), np.linspace(-1, 1, levels - 1))
     cols, rows, values = map(np.concatenate, (cols, rows, values))
-    seen = np.zeros(dims + levels)
+    p = np.concatenate((np.zeros(dims), [-1.0], np.zeros(levels - 2)))
+    seen = np.zeros(len(p))
     for _ in range(steps):
-        thresholds = start + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        s = np.bincount(rows, weights[cols] * values, len(y))
-        above = 1 / (1 + np.exp(np.clip(thresholds[None, :] - s[:, None], -40, 40)))
-        full = np.concatenate((np.ones((len(y), 1)), above, np.zeros((len(y), 1))), axis=1)
-        p = np.maximum(full[np.arange(len(y)), y] - full[np.arange(len(y)), y + 1], 1e-9)
-        slope = full * (1 - full)
-        up, down = slope[np.arange(len(y)), y], slope[np.arange(len(y)), y + 1]
-        ds = -(up - down) / p
-        dt = np.zeros(levels - 1)
-        for k in range(levels - 1):
-            dt[k] = (up / p)[y == k + 1].sum() - (down / p)[y == k].sum()
-        gw = np.bincount(cols, ds[rows] * values, dims) / len(y) + decay * weights
-        gt = np.concatenate(([dt.sum()], [dt[k + 1 :].sum() * np.exp(gaps[k]) for k in range(levels - 2)])) / len(y)
-        g = np.concatenate((gw, gt, [0.0]))[: dims + levels - 1]
-        seen[: len(g)] += g * g
-        step = rate * g / (np.sqrt(seen[: len(g)]) + 1e-8)
-        weights -= step[:dims]
-        start -= step[dims]
-        gaps -= step[dims + 1 :]
-    return Model(weights.astype(np.float32), start + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
+        _, gw, gs, gg = likelihood(p[:dims], p[dims], p[dims + 1 :], rows, cols, values, y, decay)
+        g = np.concatenate((gw, [gs], gg))
+        seen += g * g
+        p -= rate * g / (np.sqrt(seen) + 1e-8)
+    return Model(p[:dims].astype(np.float32), cut_points(p[dims], p[dims + 1 :]))
 
 
 def training_rows(docs: DataFrame, graded: DataFrame, rows: int = 3000, chars: int = 12_000) -> list[tuple[str, int]]:
@@ -110,7 +116,8 @@ def training_rows(docs: DataFrame, graded: DataFrame, rows: int = 3000, chars: i
 def classify(docs: DataFrame, model: Model, tail_grade: int = 1, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability (of `tail_grade` or better) and selected, for every row.
 
-    Null and empty texts have score 0 like any other value. Repeated rows are kept; other columns ignored.
+    Null and empty texts have score 0 like any other value; texts of any length are read whole. A tail that equals the
+    threshold is selected. Repeated rows are kept, other columns ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -9,6 +9,7 @@ in a bounded cache of the Python worker. No pre-token is ever shuffled.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from itertools import chain
 
 import pyarrow as pa
@@ -36,18 +37,35 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def frequent_table(docs: DataFrame, path: str, sample_rows: int = 500, size: int = 65_536) -> dict[str, int]:
-    """Lengths of at most `size` pre-tokens: the vocabulary's own, then those of `sample_rows` rows.
+def frequent_table(docs: DataFrame, path: str, sample_rows: int = 4000, size: int = 65_536) -> dict[str, int]:
+    """Lengths of at most `size` pre-tokens: the most frequent of about `sample_rows` rows, then the vocabulary's own.
 
-    The table only saves time; no result depends on which pre-tokens it holds.
+    The sample is spread over the table and counted where its rows are; only the counts of pre-tokens of at most 64
+    characters leave them, at most 4 * `size` a task. The table only saves time; no result depends on what it holds.
     """
     own = encoder(path)
-    plain = {own.decode([i], skip_special_tokens=False): None for i in range(own.get_vocab_size())}
+    total = docs.count()
+
+    def run(batches):
+        counts: Counter = Counter()
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                if text and not UNUSUAL.search(text):
+                    counts.update(w for w in PRE_TOKEN.findall(text) if len(w) <= 64)
+            if len(counts) > 8 * size:
+                counts = Counter(dict(counts.most_common(4 * size)))
+        best = counts.most_common(4 * size)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
+
+    seen = []
+    if sample_rows and total:
+        rows = docs.select(F.col("text").cast("string").alias("text"))
+        rows = rows.sample(sample_rows / total, 1) if total > sample_rows else rows
+        most = rows.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+        seen = [r["word"] for r in most.collect()]
     special = {t.content for t in own.get_added_tokens_decoder().values()}
-    seen = [w for w in plain if w and w not in special and not UNUSUAL.search(w) and PRE_TOKEN.fullmatch(w)]
-    for (text,) in docs.select("text").where("text is not null").limit(sample_rows).collect() if sample_rows else []:
-        if len(text) < 100_000 and not UNUSUAL.search(text):
-            seen += PRE_TOKEN.findall(text)
+    plain = {own.decode([i], skip_special_tokens=False): None for i in range(own.get_vocab_size())}
+    seen += [w for w in plain if w and w not in special and not UNUSUAL.search(w) and PRE_TOKEN.fullmatch(w)]
     words = list(dict.fromkeys(seen))[:size]
     return dict(zip(words, map(len, own.encode_batch(words, add_special_tokens=False)), strict=True))
 
@@ -86,11 +104,11 @@ class _Both(dict):
         return self.rest[word]
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 1024, sample_rows: int = 500, table_size: int = 65_536) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 1024, sample_rows: int = 4000, table_size: int = 65_536) -> DataFrame:
     """All columns of docs except its text, with n_bytes, n_tokens and over_limit.
 
-    Null and empty texts have zero bytes and tokens. Rows are kept as they are,
-    repeated ones included; columns of docs named like a result column are replaced.
+    Null and empty texts have zero bytes and tokens, texts of any length are counted whole. Rows are kept as they are,
+    repeated ones included; columns of docs named like a result column are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(frequent_table(docs, path, sample_rows, table_size))

@@ -279,6 +279,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = 600, cle
 def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; null, empty and wordless texts score as no evidence of toxicity.
 
+    Texts of any length are read whole, words of any length too; a score that equals the threshold predicts 1.
     Repeated rows are kept, other columns ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)

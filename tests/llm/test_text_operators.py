@@ -294,6 +294,25 @@ def test_ordinal_gradient_and_order():
     assert grade[0] > 1.5 > grade[1] > 0.5 > grade[2] and (tails[:, 0] >= tails[:, 1]).all() and model.thresholds[0] < model.thresholds[1]
 
 
+def test_gradients_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    weights, start, gaps = rng.standard_normal(12), -0.4, np.array([0.3, -0.2])
+    rows, cols, values, y = np.repeat(np.arange(30), 4), rng.integers(0, 12, 120), rng.random(120), rng.integers(0, 4, 30)
+    f = lambda p: quality.likelihood(p[:12], p[12], p[13:], rows, cols, values, y, 0.01)[0]
+    at = np.concatenate((weights, [start], gaps))
+    _, gw, gs, gg = quality.likelihood(weights, start, gaps, rows, cols, values, y, 0.01)
+    for i, g in enumerate([*gw, gs, *gg]):
+        step = np.eye(len(at))[i] * 1e-6
+        assert (f(at + step) - f(at - step)) / 2e-6 == pytest.approx(g, abs=1e-6)
+    probabilities = []
+    for i in range(30):  # the likelihood by its definition
+        s = sum(weights[c] * v for r, c, v in zip(rows, cols, values, strict=True) if r == i)
+        cut = [-np.inf, start, start + np.exp(gaps[0]), start + np.exp(gaps[0]) + np.exp(gaps[1]), np.inf]
+        above = lambda t: 1 / (1 + np.exp(t - s))  # noqa: B023, E731
+        probabilities.append(above(cut[y[i]]) - above(cut[y[i] + 1]))
+    assert f(at) == pytest.approx(-np.mean(np.log(probabilities)) + 0.005 * weights @ weights)
+
+
 def test_quality_on_held_out_rows(spark):
     from helixframe.llm.queries import grades, op7_quality
 
@@ -302,7 +321,43 @@ def test_quality_on_held_out_rows(spark):
     assert (got.selected == (got.quality == 1)).mean() > 0.95
     assert grades(labels).where("grade is null").count() == labels.where("quality is null or (quality = 1 and toxic is null)").count()
     model = quality.fit([], [])
-    assert quality.classify(odd(spark), model).count() == len(ODD)
+    got = quality.classify(odd(spark), model).collect()
+    assert len(got) == len(ODD) and quality.classify(odd(spark).limit(0), model).count() == 0
+    model = quality.fit(["good good", "bad"], [2, 0], steps=20)
+    assert all(r.expected_grade == pytest.approx(1 / (1 + np.exp(model.thresholds[0])) + 1 / (1 + np.exp(model.thresholds[1]))) for r in quality.classify(odd(spark), model).collect() if r.doc_id in (1, 2))
+
+
+def test_network_forward_by_plain_loops():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network({"bad": 1, "word": 2})
+    texts = ["a bad word and more of it", "bad", "x " * 40 + "bad"]
+    scorer = toxicity.Scorer(net)
+    H = toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def logit(words):
+        x = [np.concatenate((p["word"][net.words.get(w, 0)], np.mean([p["char"][g] for g in toxicity.trigrams(w)], axis=0))) for w in words]
+        states = {}
+        for d in "fb":
+            h, out = np.zeros(H), [None] * len(x)
+            for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+                g = x[t] @ p[f"in_{d}"] + p[f"bias_{d}"]
+                zr = sig(g[: 2 * H] + h @ p[f"zr_{d}"])
+                new = np.tanh(g[2 * H :] + (zr[H:] * h) @ p[f"h_{d}"])
+                h = (1 - zr[:H]) * h + zr[:H] * new
+                out[t] = h
+            states[d] = out
+        s = [np.concatenate(v) for v in zip(states["f"], states["b"], strict=True)]
+        e = np.array([np.tanh(v @ p["att_w"] + p["att_b"]) @ p["att_v"] for v in s])
+        a = np.exp(e) / np.exp(e).sum()
+        return sum(w * v for w, v in zip(a, s, strict=True)) @ p["out_w"] + p["out_b"][0]
+
+    want = []
+    for t in texts:
+        words = t.split()
+        want.append(max(logit(words[a : a + 32]) for a in range(0, max(1, len(words) - 8), 24)))
+    assert scorer.logits(texts) == pytest.approx(want, abs=1e-4)
 
 
 def test_network_gradients():
@@ -345,6 +400,7 @@ def test_toxic_documents_are_told_apart(spark):
     long = " ".join(rng.choice(words, 3000))
     assert scorer.scores([long])[0] < 0.7 <= scorer.scores([long + " moron " + long])[0]
     rows = toxicity.score(odd(spark), scorer).collect()
+    assert toxicity.score(odd(spark).limit(0), scorer).count() == 0 and langid.predict(odd(spark).limit(0), {"en": "the cat"}).count() == 0
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     assert all(r.predicted == 0 for r in rows if r.doc_id in (1, 2, 3))
     assert toxicity.fit([], []).scores(["x", None]).tolist() == pytest.approx([0.0067] * 2, abs=0.01)

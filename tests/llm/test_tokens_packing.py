@@ -164,3 +164,11 @@ def test_schedules_of_many_sources_are_whole(by_size):
                 assert a.tolist() == b.tolist()
     if by_size:
         assert max(abs(counts.get((r, s), 0) - 256 * t / sum(totals)) for s, t in enumerate(totals) for r in range(sum(totals) // 256)) <= 12
+
+
+def test_the_table_holds_the_most_frequent(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, "zyxw zyxw qponm " + f"rare{i}xx " + ("x" * 200)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert set(tokens.frequent_table(docs, path, size=4)) == {"xx", " zyxw", " qponm", " rare"}
+    assert len(tokens.frequent_table(docs, path, sample_rows=10, size=20)) == 20 and tokens.frequent_table(docs.limit(0), path, size=20)
