@@ -83,8 +83,21 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1}
-
+    return {"op1_warc": OP1, "op8_embeddings": OP8}
+
+
+#: All pairs, then the smallest number reachable.
+OP8 = """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  and list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95),
+reach(node, seen) as (select vec_id, vec_id from embeddings union select r.node, n.b from reach r join near n on r.seen = n.a),
+low as (select node, min(seen) as component_id from reach group by node),
+n as (select a, count(*) as k from near group by a)
+select vec_id, coalesce(k, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join low on vec_id = node left join n on vec_id = a
+"""
 
 #: Base32 by twenty bits at a time: four letters for each five hex digits of the digest.
 OP1 = """

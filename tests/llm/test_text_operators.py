@@ -451,3 +451,17 @@ def test_pipeline_stages(spark):
             assert set(after) == before and all((after[i] == texts[i]) == (not brute_spans(texts[i])) for i in after)
     out = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in out.collect()} == set(after)
+
+
+def test_pipeline_of_odd_rows_and_of_nothing(spark, tmp_path):
+    clashing = odd(spark).withColumns({c: F.lit(1) for c in ("lang_pred", "fp", "key", "r", "added", "row_id", "n", "held_out")})
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in (clashing, clashing.limit(0)):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, str(tmp_path))
+            assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+            docs = spark.createDataFrame(kept.collect(), kept.schema)
+        want = {"4", "5", "6", "7", "None"} if rows is clashing else set()
+        assert {str(r.doc_id) for r in docs.collect()} == want
+        assert {str(r.doc_id) for r in corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()} == want
