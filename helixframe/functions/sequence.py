@@ -30,6 +30,24 @@ def valid_sequence(s) -> Column:
     return F.col(s).rlike("^[ACGTNacgtn]*$")
 
 
+def valid_base(c) -> Column:
+    """One of ACGT in either case; N is none."""
+    return F.coalesce(F.col(c).rlike("^[ACGTacgt]$"), F.lit(False))
+
+
+def noise_encode(reference, base) -> Column:
+    """A digit that tells a base against another: its place among the others of that one, 3 for all else."""
+    up = F.upper(base)
+    row = F.create_map(*(F.lit(x) for k, v in schema.NOISE.items() for x in (k, v[:3])))[F.upper(reference)]
+    return F.when(row.isNull(), "0").otherwise(F.when(F.contains(row, up) & (up != ""), F.position(up, row) - 1).otherwise(3).cast("string"))
+
+
+def noise_decode(reference, digit) -> Column:
+    """The base a digit tells; of references other than ACGT as of N, of digits past 3 as of 3."""
+    row = F.coalesce(F.create_map(*(F.lit(x) for k, v in schema.NOISE.items() for x in (k, v)))[F.upper(reference)], F.lit(schema.NOISE["N"]))
+    return F.substr(row, F.when(digit.between("0", "3"), digit.cast("int")).otherwise(3) + 1, F.lit(1))
+
+
 def valid_quality(q) -> Column:
     return F.col(q).rlike("^[!-~]*$")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe import schema
 from helixframe.errors import UsageError
+from helixframe.operators import shared
 
 
 def zip_mates(r1: DataFrame, r2: DataFrame, strict: bool = True) -> DataFrame:
@@ -41,6 +42,32 @@ def mate_of(layout: str, total: int) -> Column:
     return (idx % 2 + 1 if layout == "interleaved" else F.when(idx < total // 2, 1).otherwise(2)).cast("int")
 
 
+def blocked_consecutive(pairs: DataFrame, block_reads: int) -> DataFrame:
+    """Reads of zipped pairs by blocks: within a block all its first mates, then its second ones.
+
+    Blocks hold an even number of reads, so that mates stay in one block; the half of a block tells them apart again.
+    """
+    per = max(1, block_reads // 2)
+    cols = [c[:-2] for c in pairs.columns if c.endswith("_1")]
+    in_block = Window.partitionBy("block_id")
+    rows = pairs.withColumn("block_id", F.floor(F.col("pair_idx") / per).cast("int")).withColumn("k", F.count("*").over(in_block)).withColumn("first", F.min("pair_idx").over(in_block))
+    each = F.array(*(F.struct(F.lit(m).alias("mate"), *(F.col(f"{c}_{m}").alias(c) for c in cols)) for m in (1, 2)))
+    rows = rows.select("block_id", "k", "first", "pair_idx", F.explode(each).alias("r")).select("block_id", "k", "first", "pair_idx", "r.*")
+    idx = F.col("first") + F.col("pair_idx") + (F.col("mate") - 1) * F.col("k")
+    return rows.select(idx.cast("bigint").alias("read_idx"), "block_id", "mate", "pair_idx", *cols)
+
+
+def reorder_allowed(enabled: bool, kind: str, paired: bool) -> bool:
+    """Only single short reads are ever reordered."""
+    return enabled and kind == "short" and not paired
+
+
+def default_stats(mode: str) -> tuple[str, int]:
+    """Length class and length that are taken for granted where the input can't be looked at first."""
+    n = schema.DEFAULT_LENGTH[mode]
+    return length_class(n, n), n
+
+
 def parse_range(text: str) -> tuple[int | None, int | None]:
     """1-based inclusive ends; `n` is n alone, 0 and nothing are open ends."""
     if ":" not in text:
@@ -94,22 +121,26 @@ def similarity_order(reads: DataFrame, min_hash: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with their 0-based rank in a total order, without a window over all of them."""
-    split = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
-    local = split.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    counts = split.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return local.join(base, "_p").withColumn("rank", F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
+    """rows with their 0-based rank in a total order, by one range shuffle.
+
+    The sorted rows are written with their place in their partition; the counts of the partitions, a row
+    each, give every partition its offset.
+    """
+    spark = rows.sparkSession
+    path = shared.folder(spark, "ranked")
+    place = F.monotonically_increasing_id()
+    split = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(place, 33).alias("_p"), place.bitwiseAND((1 << 33) - 1).alias("_r"))
+    split.write.parquet(path)
+    split = spark.read.schema(split.schema).parquet(path)
+    base = split.groupBy("_p").agg((F.max("_r") + 1).alias("_n"))
+    base = base.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return split.join(base, F.col("_p") == F.col("_q")).withColumn("rank", F.col("_b") + F.col("_r")).drop("_p", "_q", "_r", "_b")
 
 
 def reorder(reads: DataFrame, order: DataFrame) -> DataFrame:
     return reads.join(order, F.col("read_idx") == F.col("orig_idx")).drop("orig_idx")
 
 
-def restore(reordered: DataFrame) -> DataFrame:
-    return reordered.drop("archive_idx")
-
-
 def length_class(median: int, longest: int) -> str:
     if longest >= schema.LONG_MIN_LENGTH:
         return "long"

@@ -2,16 +2,54 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_roots: dict[str, str] = {}
+
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A fresh name under spark.checkpoint.dir; under a temporary folder only where that is unset."""
+    """A fresh name in this application's folder under spark.checkpoint.dir, which goes when the driver's JVM ends.
+
+    Where that is unset, a temporary folder serves a local session; on a cluster it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    key = f"{root} {spark.sparkContext.applicationId}"
+    if key not in _roots:
+        _roots[key] = f"{root.rstrip('/')}/reads-{uuid.uuid4().hex}"
+        where, files = hadoop(spark, _roots[key])
+        files.mkdirs(where)
+        files.deleteOnExit(where)  # also after spark.stop()
+    return f"{_roots[key]}/{label}-{uuid.uuid4().hex}"
+
+
+def hadoop(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = hadoop(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, files = hadoop(spark, path)
+    files.delete(where, True)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """A rename is the commit; it fails rather than move into a folder that is already there."""
+    where, files = hadoop(spark, source)
+    to = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if files.exists(to) or not files.rename(where, to):
+        raise OSError(f"{source} can't be renamed to {target}")

@@ -85,43 +85,68 @@ def consensus_vote(reads: DataFrame, key) -> DataFrame:
     return votes.groupBy("key", "pos").agg(best).select("key", "pos", "best.base", "best.votes")
 
 
+def align(reads: np.ndarray, turned: np.ndarray, sizes: np.ndarray, reference: np.ndarray, max_shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least cost of each read against the reference, and the shift and strand of the first alignment that has it.
+
+    The cost is the differing bases of the overlap and the bases of the read outside it;
+    forward strands come first, then smaller shifts.
+    """
+    best = np.full(len(reads), np.iinfo(np.int64).max)
+    where, strand = np.zeros(len(reads), np.int64), np.zeros(len(reads), bool)
+    for rc, x in ((False, reads), (True, turned)):
+        for shift in range(-max_shift, max_shift + 1):
+            a, b = max(0, shift), max(0, -shift)
+            overlap = np.minimum(len(reference) - a, sizes - b)
+            w = min(len(reference) - a, x.shape[1] - b)
+            if w <= 0:
+                continue
+            differ = ((x[:, b : b + w] != reference[a : a + w]) & (np.arange(w) < overlap[:, None])).sum(axis=1)
+            cost = np.where(overlap > 0, differ + sizes - overlap, np.iinfo(np.int64).max)
+            less = cost < best
+            best, where, strand = np.where(less, cost, best), np.where(less, shift, where), np.where(less, rc, strand)
+    return best, where, strand
+
+
 def contigs(sequences: list[str], max_shift: int = schema.MAX_SHIFT, limit: int = schema.HAMMING_LIMIT) -> list[dict]:
     """Greedy consensus groups of ACGTN reads, each a consensus with shift, strand and differences of its members.
 
-    A read joins the first group to whose reference it aligns within the limit (both
-    strands, all shifts), and is stored as its differences from the final consensus.
+    The first read that is left founds a group; those after it join in order if they align
+    within the limit to the consensus as it stands, over the founder's span, and vote in it. Members are stored
+    as their differences from the final consensus.
     """
     table = str.maketrans("ACGT", "TGCA")
-    codes = np.zeros(256, np.uint8)
+    codes = np.full(256, 4, np.uint8)
     codes[np.frombuffer(b"ACGTN", np.uint8)] = np.arange(5)
-    groups: list[dict] = []
-    size, longest = 0, max(map(len, sequences), default=0)
-    refs, sizes = np.zeros((64, longest), np.uint8), np.zeros(64, np.int64)
-    shifts = range(-max_shift, max_shift + 1)
-    for order, s in enumerate(sequences):
-        forms = [np.frombuffer(f.encode(), np.uint8) for f in (s, s.translate(table)[::-1])]
-        n, where = len(s), None
-        if size:
-            # cost of each alignment (strand, shift) with every group's reference at once
-            cost = np.full((2 * len(shifts), size), limit + 1, np.int64)
-            for k, (x, shift) in enumerate((x, shift) for x in forms for shift in shifts):
-                a, z = max(0, shift), min(longest, shift + n)
-                if z - a >= max(1, n // 2):
-                    overlap = np.minimum(sizes[:size], shift + n) - a
-                    inside = np.arange(a, z) < sizes[:size, None]
-                    differ = ((refs[:size, a:z] != x[a - shift : z - shift]) & inside).sum(axis=1)
-                    cost[k] = np.where(overlap >= max(1, n // 2), differ + n - overlap, limit + 1)
-            fits = np.flatnonzero((cost <= limit).any(axis=0))
-            if len(fits):
-                where = int(fits[0])
-                k = int(cost[:, where].argmin())
-                groups[where]["members"].append((order, shifts[k % len(shifts)], k >= len(shifts), forms[k // len(shifts)]))
-        if where is None:
-            if size == len(refs):
-                refs, sizes = np.concatenate((refs, np.zeros_like(refs))), np.concatenate((sizes, np.zeros_like(sizes)))
-            refs[size, :n], sizes[size] = forms[0], n
-            size += 1
-            groups.append({"members": [(order, 0, False, forms[0])]})
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    forms = [np.zeros((len(sequences), int(sizes.max(initial=0))), np.uint8) for _ in range(2)]
+    for i, s in enumerate(sequences):
+        forms[0][i, : len(s)] = np.frombuffer(s.encode(), np.uint8)
+        forms[1][i, : len(s)] = np.frombuffer(s.translate(table)[::-1].encode(), np.uint8)
+    left, groups = np.arange(len(sequences)), []
+    while len(left):
+        founder, rest = int(left[0]), left[1:]
+        n = int(sizes[founder])
+        reference, votes = forms[0][founder, :n].copy(), np.zeros((n, 5), np.int32)
+        votes[np.arange(n), codes[reference]] += 1
+        members, joined, at = [(founder, 0, False, forms[0][founder, :n])], np.zeros(len(rest), bool), 0
+        while at < len(rest):
+            cost, shift, strand = align(forms[0][rest[at:]], forms[1][rest[at:]], sizes[rest[at:]], reference, max_shift)
+            fits, begun = np.flatnonzero(cost <= limit), at
+            at = len(rest)
+            for k in fits.tolist():
+                j, sh = int(rest[begun + k]), int(shift[k])
+                x = forms[int(strand[k])][j, : sizes[j]]
+                members.append((j, sh, bool(strand[k]), x))
+                joined[begun + k] = True
+                a, z = max(0, sh), min(n, sh + len(x))
+                votes[np.arange(a, z), codes[x[a - sh : z - sh]]] += 1
+                plain = votes[:, :4]
+                new = np.where(plain.sum(axis=1) > 0, np.frombuffer(b"ACGT", np.uint8)[3 - plain[:, ::-1].argmax(axis=1)], reference)
+                if (new != reference).any():
+                    reference, at = new, begun + k + 1
+                    break
+        groups.append({"members": members})
+        left = rest[~joined]
     out = []
     for g in groups:
         low = min(m[1] for m in g["members"])
@@ -152,3 +177,48 @@ def from_contigs(groups: list[dict]) -> list[str]:
             s = x.tobytes().decode()
             out[d["orig_order"]] = s.translate(table)[::-1] if d["is_rc"] else s
     return [out[i] for i in range(len(out))]
+
+
+def greedy_order(reads: DataFrame, group, limit: int = schema.MAX_CANDIDATES) -> DataFrame:
+    """(group, orig_idx, archive_idx): the nearest-neighbour path through each group's reads, from its first.
+
+    The next read is, of the first `limit` unused ones that share a minimizer with the last read, in the order of its minimizers
+    and of the reads, the one nearest in length; else the first unused one. One step needs the step before, so a group is
+    one task's work: groups are blocks of bounded size, and `layout.similarity_order` serves whole tables.
+    """
+    mins = minimizers_arrow(reads)
+    lists = mins.groupBy("read_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda m: m["hash"]).alias("hashes"))
+    rows = reads.select("read_idx", group.alias("group"), F.length("sequence").alias("size")).join(lists, "read_idx", "left")
+
+    def walk(t: pa.Table) -> pa.Table:
+        t = t.sort_by("read_idx")
+        order = path(t.column("size").to_pylist(), [h or [] for h in t.column("hashes").to_pylist()], limit)
+        idx = t.column("read_idx").to_numpy()
+        return pa.table({"group": t.column("group"), "orig_idx": pa.array(idx[order], pa.int64()), "archive_idx": pa.array(np.arange(len(order)), pa.int64())})
+
+    return rows.groupBy("group").applyInArrow(walk, "group bigint, orig_idx bigint, archive_idx bigint")
+
+
+def path(sizes: list[int], hashes: list[list[int]], limit: int) -> list[int]:
+    places: dict[int, list[int]] = {}
+    for i, own in enumerate(hashes):
+        for h in dict.fromkeys(own):
+            places.setdefault(h, []).append(i)
+    used, order, first = [False] * len(sizes), [], 0
+    now = 0 if sizes else None
+    while now is not None:
+        used[now] = True
+        order.append(now)
+        best, seen = None, 0
+        for h in hashes[now]:
+            bucket = places[h] = [i for i in places[h] if not used[i]]
+            for i in bucket[: limit - seen]:
+                if best is None or abs(sizes[i] - sizes[now]) < abs(sizes[best] - sizes[now]):
+                    best = i
+            seen += min(len(bucket), limit - seen)
+            if seen >= limit:
+                break
+        while first < len(sizes) and used[first]:
+            first += 1
+        now = best if best is not None else first if first < len(sizes) else None
+    return order

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe import schema
 from helixframe.functions import sequence as fn
-from helixframe.operators import codecs, layout, shared, similarity, store
+from helixframe.operators import codecs, container, layout, shared, similarity, store
 from helixframe.plans.views import SQL, as_reads, reads, varied
 from helixframe.sources import fastq
 from helixframe.streaming import ingest
@@ -181,6 +181,16 @@ def base_index(spark, sf):
     return varied(spark, sf).select("read_idx", fn.base_index("sequence").alias("digits"))
 
 
+NOISE = {k: "case upper(a) " + " ".join(f"when '{b}' then '{r[:k]}'" for b, r in schema.NOISE.items()) for k in (3, 4)}
+
+
+@query(f"select read_idx, code, substr(coalesce({NOISE[4]} end, '{schema.NOISE['N']}'), code::int + 1, 1) as back, strict from (select read_idx, a, case when {NOISE[3]} end is null then '0' when instr({NOISE[3]} end, upper(b)) > 0 then (instr({NOISE[3]} end, upper(b)) - 1)::varchar else '3' end as code, regexp_matches(b, '^[ACGTacgt]$') as strict from (select read_idx, sequence[1] as a, sequence[2] as b from varied))")
+def noise_codes(spark, sf):
+    rows = varied(spark, sf).select("read_idx", F.substring("sequence", 1, 1).alias("a"), F.substring("sequence", 2, 1).alias("b"))
+    rows = rows.withColumn("code", fn.noise_encode(F.col("a"), F.col("b")))
+    return rows.select("read_idx", "code", fn.noise_decode(F.col("a"), F.col("code")).alias("back"), fn.valid_base("b").alias("strict"))
+
+
 @query("select read_idx, list_sum(list_transform(string_split(quality, ''), lambda c: ascii(c) - 33))::bigint as total, list_min(list_transform(string_split(quality, ''), lambda c: ascii(c) - 33))::int as least from varied")
 def phred_values(spark, sf):
     v = fn.phred("quality")
@@ -422,6 +432,29 @@ def consensus_vote(spark, sf):
     return similarity.consensus_vote(varied(spark, sf), F.col("read_idx") % 97)
 
 
+def greedy_path(spark, sf):
+    """The nearest-neighbour path through each thousand reads; one step needs the one before, so it has no SQL."""
+    return similarity.greedy_order(varied(spark, sf), F.floor(F.col("read_idx") / BLOCK))
+
+
+query(None, "greedy_path")(greedy_path)
+
+
+@query("select (read_idx // 200)::int as block_id, count(*) as members, true as whole, true as near from reads group by 1")
+def consensus_groups(spark, sf):
+    """Consensus groups of each 200 reads: all are members of one, within the limit of its consensus over the first one's span."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("read_idx")
+        texts = t.column("sequence").to_pylist()
+        groups = similarity.contigs(texts)
+        near = all(d["read_len"] == len(texts[d["orig_order"]]) for g in groups for d in g["deltas"])
+        return pa.table({"block_id": t.column("block_id")[:1], "members": pa.array([sum(len(g["deltas"]) for g in groups)], pa.int64()), "whole": [similarity.from_contigs(groups) == texts], "near": [near]})
+
+    rows = reads(spark, sf).select("read_idx", F.expr("cast(read_idx div 200 as int)").alias("block_id"), "sequence")
+    return rows.groupBy("block_id").applyInArrow(run, "block_id int, members bigint, whole boolean, near boolean")
+
+
 # --- round trips: what comes back is what went in
 
 IDENTITY = "select read_idx, id, comment, sequence, quality from {v}"
@@ -434,7 +467,7 @@ def roundtrip_exact(spark, sf):
 
 @query(IDENTITY.format(v="reads"))
 def roundtrip_tokenize(spark, sf):
-    return store.decode_blocks(store.encode_blocks(reads(spark, sf), BLOCK, "long", id_mode="tokenize"), order=1)
+    return store.decode_blocks(store.encode_blocks(reads(spark, sf), BLOCK, "long", id_mode="tokenize"))
 
 
 @query(IDENTITY.format(v="reads"))
@@ -481,13 +514,69 @@ def verify_blocks(spark, sf):
 def skip_corrupted(spark, sf):
     blocks = store.encode_blocks(reads(spark, sf), BLOCK, "long")
     broken = blocks.withColumn("seq_data", F.when(F.col("block_id") == 1, F.lit(b"broken")).otherwise(F.col("seq_data")))
-    return store.decode_blocks(broken, skip_corrupted=True, order=1).select("read_idx", "id")
+    return store.decode_blocks(broken, skip_corrupted=True).select("read_idx", "id")
+
+
+def written(spark, sf, **settings) -> str:
+    path = shared.folder(spark, "archive")
+    store.write_archive(varied(spark, sf), path, requested_block=BLOCK, **settings)
+    return path
 
 
-@query(f"select count(*) as total_reads, (count(*) + {BLOCK - 1}) // {BLOCK} as num_blocks, cast(sum(length(sequence)) as bigint) as bases from varied")
+@query(f"select count(*) as total_reads, (count(*) + {BLOCK - 1}) // {BLOCK} as num_blocks, false as is_paired, true as preserve_order, 'illumina8' as quality_mode, 'tokenize' as id_mode, false as has_reorder_map, 'interleaved' as pe_layout, 'short' as read_length_class, false as streaming_mode from varied")
 def archive_info(spark, sf):
-    index = layout.with_blocks(varied(spark, sf), BLOCK).groupBy("block_id").agg(F.count("*").alias("n"), F.sum(F.length("sequence")).alias("b"))
-    return index.agg(F.sum("n").alias("total_reads"), F.count("*").alias("num_blocks"), F.sum("b").alias("bases"))
+    """What the flags of a written archive say."""
+    return store.info_from_flags(store.info(spark, written(spark, sf, quality_mode="illumina8")))
+
+
+@query(f"select (read_idx // {BLOCK})::int as block_id, min(read_idx) as archive_id_start, count(*)::int as read_count, 0 as uniform_read_length, 'id_tokens' as ids, 'zstd' as seq, 'zstd' as qual, 'delta_varint' as aux from varied group by 1")
+def block_codecs(spark, sf):
+    """Index and codecs of a written archive, without its streams."""
+    names = F.create_map(*(F.lit(x) for k, v in codecs.FAMILIES.items() for x in (v, k)))
+    rows = store.headers(spark.read.schema(schema.BLOCK).parquet(f"{written(spark, sf, id_mode='tokenize')}/blocks"))
+    return rows.select("block_id", "archive_id_start", "read_count", "uniform_read_length", *(names[F.shiftright(F.col(f"codec_{c}").cast("int"), 4)].alias(c) for c in ("ids", "seq", "qual", "aux")))
+
+
+@query(f"select (count(*) + {BLOCK - 1}) // {BLOCK} as checked, (count(*) + {BLOCK - 1}) // {BLOCK} - 1 as ok, 1::bigint as failed, count(*) - least({BLOCK}, count(*) - {BLOCK}) as reads from varied")
+def verify_totals(spark, sf):
+    blocks = store.encode_blocks(varied(spark, sf), BLOCK, "medium")
+    return store.verify_totals(store.verify(blocks.withColumn("seq_data", F.when(F.col("block_id") == 1, F.lit(b"broken")).otherwise(F.col("seq_data")))))
+
+
+@query(f"select (read_idx // {BLOCK})::int as block_id, m as error from reads, (values ('the codec of ids contradicts the mode tokenize'), ('the codec of qual contradicts the mode none')) t(m) group by all")
+def codec_contradictions(spark, sf):
+    blocks = store.encode_blocks(reads(spark, sf), BLOCK, "long", id_mode="discard", quality_mode="discard")
+    return store.contradictions(blocks, "none", "tokenize")
+
+
+@query(f"select (read_idx // {BLOCK})::int as block_id, case when min(read_idx) = 0 then 'not in the index' else 'another first read' end as error from reads group by 1")
+def index_mismatches(spark, sf):
+    blocks = store.encode_blocks(reads(spark, sf), BLOCK, "long")
+    index = blocks.select("block_id", (F.col("archive_id_start") + 1).alias("archive_id_start"), "read_count").where("block_id > 0")
+    return store.index_mismatches(index, blocks)
+
+
+@query("select count(*) as reads, sum(length(sequence))::bigint as bases, sum(length(id) + length(comment) + 2 * length(sequence) + 7)::bigint as raw_bytes, true as smaller, true as consistent from varied")
+def archive_stats(spark, sf):
+    blocks = spark.read.schema(schema.BLOCK).parquet(f"{written(spark, sf)}/blocks")
+    stats = store.archive_stats(blocks, store.decode_blocks(blocks))
+    bits = F.abs(F.col("bits_per_base") * F.col("bases") - 8 * F.col("compressed_bytes")) < 1
+    return stats.select("reads", "bases", "raw_bytes", (F.col("ratio") > 1).alias("smaller"), (bits & (F.col("largest_block") <= F.col("compressed_bytes"))).alias("consistent"))
+
+
+@query("select block, sum(own) over (order by block)::bigint as peak_bytes from (select (read_idx // 10000)::bigint as block, 2 * sum(length(id) + length(comment) + length(sequence) + length(quality) + 128) as own from varied group by 1)")
+def running_estimate(spark, sf):
+    return store.running_estimate(varied(spark, sf))
+
+
+@query(IDENTITY.format(v="varied"))
+def container_roundtrip(spark, sf):
+    """The archive as a single file and back."""
+    path = shared.folder(spark, "container")
+    blocks = spark.read.schema(schema.BLOCK).parquet(f"{written(spark, sf)}/blocks")
+    file = f"{path.removeprefix('file://')}.bin"
+    container.export(blocks, file, 2)
+    return store.decode_blocks(container.load_blocks(spark, file))
 
 
 @query("select read_idx, flags, (flags & 1)::bigint as paired, ((flags >> 3) & 3)::bigint as quality_mode, ((flags >> 5) & 3)::bigint as id_mode, ((flags >> 8) & 3)::bigint as layout, ((flags >> 10) & 3)::bigint as length_class, ((flags >> 12) & 1)::bigint as streaming from (select read_idx, ((read_idx % 2) + ((read_idx % 4) << 3) + ((read_idx % 3) << 5) + ((read_idx % 2) << 8) + ((read_idx % 3) << 10) + ((read_idx % 2) << 12) + 2)::bigint as flags from reads)")
@@ -497,10 +586,12 @@ def flags_decode(spark, sf):
     return rows.select("read_idx", "flags", *(fn.flag(F.col("flags"), low, width).alias(n) for n, low, width in (("paired", 0, 1), ("quality_mode", 3, 2), ("id_mode", 5, 2), ("layout", 8, 2), ("length_class", 10, 2), ("streaming", 12, 1))))
 
 
-@query("select block_id, 'gap, overlap or empty block' as error from (select unnest([2, 3]) as block_id) union all select -1, 'read counts do not add up'")
+@query(f"select (read_idx // {BLOCK})::int as block_id, 'gap, overlap or empty block' as error from reads where read_idx // {BLOCK} > 1 group by 1 union all select -1, 'read counts do not add up'")
 def structure_check(spark, sf):
-    blocks = spark.createDataFrame([(0, 0, 10), (1, 10, 10), (2, 25, 10), (3, 35, 10)], "block_id int, archive_id_start bigint, read_count int")
-    return store.structure_errors(blocks, 50)
+    """An archive whose second block has lost ten reads: all blocks after it start too late, and the sum is wrong."""
+    blocks = store.encode_blocks(reads(spark, sf), BLOCK, "long")
+    short = blocks.withColumn("read_count", F.when(F.col("block_id") == 1, F.col("read_count") - 10).otherwise(F.col("read_count")))
+    return store.structure_errors(short, spark.read.parquet(f"{sf}/orders.parquet").count())
 
 
 @query(IDENTITY.format(v="varied"))
@@ -510,6 +601,68 @@ def fastq_files(spark, sf):
     return fastq.read_text_fastq(spark, path)
 
 
+@query(IDENTITY.format(v="varied"))
+def fastq_many_files(spark, sf):
+    """Twelve files of two folders, the first ones small."""
+    path = shared.folder(spark, "fastq")
+    fastq.write_fastq(varied(spark, sf).where("read_idx < 300"), f"{path}/0", files=5)
+    fastq.write_fastq(varied(spark, sf).where("read_idx >= 300"), f"{path}/1", files=7)
+    return fastq.read_text_fastq(spark, [f"{path}/0", f"{path}/1"])
+
+
+@query(IDENTITY.format(v="varied"))
+def fastq_many_splits(spark, sf):
+    """Three files cut every 50,000 bytes, wherever that is in a record."""
+    path = shared.folder(spark, "fastq")
+    fastq.write_fastq(varied(spark, sf), path, files=3)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    return fastq.read_text_fastq(session, path)
+
+
+@query(IDENTITY.format(v="varied"))
+def stream_files(spark, sf):
+    """Several files as a stream of slices, in blocks, and back."""
+    path = shared.folder(spark, "fastq")
+    fastq.write_fastq(varied(spark, sf), path, files=3)
+    work = shared.folder(spark, "stream")
+    ingest.append_blocks(ingest.read_stream(spark, path, BLOCK), f"{work}/blocks", f"{work}/progress", BLOCK, kind="long", once=True).awaitTermination()
+    return store.decode_blocks(ingest.finish(spark, f"{work}/blocks"))
+
+
+def pair_files(spark, sf) -> tuple[str, str]:
+    paths = []
+    for m in (0, 1):
+        path = shared.folder(spark, f"mate{m}")
+        fastq.write_fastq(reads(spark, sf).where(F.col("read_idx") % 2 == m), path, files=1)
+        paths.append(fastq.local_files(path)[0])
+    return tuple(paths)
+
+
+@query("select read_idx, id, comment, sequence, quality from reads")
+def stream_pairs(spark, sf):
+    """Two files as a stream of pairs, interleaved."""
+    work = shared.folder(spark, "stream")
+    ingest.append_blocks(ingest.read_pair_stream(spark, *pair_files(spark, sf), BLOCK), f"{work}/blocks", f"{work}/progress", 2 * BLOCK, once=True, pe_layout="interleaved", kind="long").awaitTermination()
+    return store.decode_blocks(ingest.finish(spark, f"{work}/blocks"))
+
+
+@query("select read_idx // 2 as pair_idx, id, sequence from reads where read_idx % 2 = 1")
+def stream_consecutive_r2(spark, sf):
+    """An interleaved file as a stream, first mates before second ones in each block; its second mates."""
+    path, work = shared.folder(spark, "fastq"), shared.folder(spark, "stream")
+    fastq.write_fastq(reads(spark, sf), path, files=2)
+    ingest.append_blocks(ingest.read_stream(spark, path, 2 * BLOCK), f"{work}/blocks", f"{work}/progress", 2 * BLOCK, once=True, pe_layout="consecutive", kind="long").awaitTermination()
+    ingest.finish_archive(spark, f"{work}/blocks", f"{work}/archive", True, "consecutive", "long")
+    two = store.split_mates(spark, f"{work}/archive")[1]
+    return two.select(F.floor(F.split_part("id", F.lit(":"), F.lit(6)).cast("bigint") / 2).alias("pair_idx"), "id", "sequence")
+
+
+@query(f"select (2 * (p // 500) * 500 + p % 500 + m * least(500, n - (p // 500) * 500))::bigint as read_idx, (p // 500)::int as block_id, (m + 1)::int as mate, id from (select read_idx // 2 as p, read_idx % 2 as m, id, (select count(*) // 2 from reads) as n from reads)")
+def pe_blocked_consecutive(spark, sf):
+    return layout.blocked_consecutive(layout.zip_mates(*mates(spark, sf)), BLOCK).select("read_idx", "block_id", "mate", "id")
+
+
 @query(IDENTITY.format(v="varied") + " where read_idx between 499 and 1199")
 def archive_range(spark, sf):
     path = shared.folder(spark, "archive")
@@ -531,4 +684,4 @@ def stream_ingest(spark, sf):
     table = spark.read.parquet(f"{sf}/orders.parquet")
     source = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/orders*")
     ingest.append_blocks(as_reads(source), f"{path}/blocks", f"{path}/progress", BLOCK, kind="long", once=True).awaitTermination()
-    return store.decode_blocks(ingest.finish(spark, f"{path}/blocks"), order=1)
+    return store.decode_blocks(ingest.finish(spark, f"{path}/blocks"))

@@ -1,29 +1,56 @@
-"""Incremental ingest: a stream of reads appended as blocks."""
+"""Incremental ingest: a stream of reads or pairs appended as blocks."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from helixframe import schema
-from helixframe.operators import layout, store
-from helixframe.sources.fastq import register
+from helixframe.errors import FormatError
+from helixframe.operators import layout, shared, store
+from helixframe.sources import fastq
+
+
+def read_stream(spark: SparkSession, path: str, rows_per_slice: int = 10_000, slices_per_batch: int = 64) -> DataFrame:
+    """Reads of a file, which may grow, of comma-separated ones, a glob or a folder.
+
+    The driver looks for line ends only and hands out slices; tasks parse them. `slices_per_batch` bounds what is under way.
+    """
+    fastq.register(spark)
+    slices = spark.readStream.format("fastq_slices").option("rowsPerSlice", str(rows_per_slice)).option("slicesPerBatch", str(slices_per_batch)).load(path)
+    return fastq.parse_slices(slices.repartition(spark.sparkContext.defaultParallelism))
 
 
-def read_stream(spark: SparkSession, path: str, rows_per_batch: int = 10_000) -> DataFrame:
-    register(spark)
-    return spark.readStream.format("fastq").option("rowsPerBatch", str(rows_per_batch)).load(path)
+def read_pair_stream(spark: SparkSession, path: str, path2: str, rows_per_slice: int = 10_000, slices_per_batch: int = 64) -> DataFrame:
+    """pair_idx and both mates of two plain files, cut after the same pairs; a file with more reads is an error."""
+    fastq.register(spark)
+    source = spark.readStream.format("fastq_pairs").option("path2", path2).option("rowsPerSlice", str(rows_per_slice)).option("slicesPerBatch", str(slices_per_batch))
+    return fastq.parse_pairs(source.load(path).repartition(spark.sparkContext.defaultParallelism))
 
 
-def append_blocks(reads: DataFrame, path: str, checkpoint: str, block_reads: int = schema.BLOCK_READS["short"], once: bool = False, **settings) -> StreamingQuery:
+def as_pairs(reads: DataFrame) -> DataFrame:
+    """Pairs of interleaved reads; a read without its mate is an error."""
+    one, two = (reads.where(F.col("read_idx") % 2 == m).withColumn("read_idx", F.floor(F.col("read_idx") / 2)) for m in (0, 1))
+    return layout.zip_mates(one, two)
+
+
+def append_blocks(reads: DataFrame, path: str, checkpoint: str, block_reads: int = schema.BLOCK_READS["short"], once: bool = False, pe_layout: str = "", **settings) -> StreamingQuery:
     """Each micro-batch becomes blocks in a folder named by its number, so a batch that runs again replaces itself.
 
-    Blocks carry read_idx from the source, and need no state between batches.
+    Blocks carry read_idx from the source, and need no state between batches. `reads` may be pairs; with a layout, pairs, or the
+    reads of an interleaved file, are laid out by it, consecutive ones within each block. The query can be stopped at any time and goes on
+    from its checkpoint; its progress tells the slices of each batch.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        store.encode_blocks(df, block_reads, **settings).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if pe_layout and "pair_idx" not in df.columns and pe_layout == "consecutive":
+            df = as_pairs(df)
+        if "pair_idx" in df.columns:
+            df = layout.blocked_consecutive(df, block_reads) if pe_layout == "consecutive" else layout.arrange(df, "interleaved")
+        store.encode_blocks(df.select(*store.READ_COLUMNS), block_reads, **settings).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     when = {"availableNow": True} if once else {"processingTime": "0 seconds"}
     return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**when).start()
@@ -31,6 +58,22 @@ def append_blocks(reads: DataFrame, path: str, checkpoint: str, block_reads: int
 
 def finish(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of all batches, numbered by their first read; a block cut by a batch's end stays as it is."""
+    if not shared.exists(spark, path):
+        return spark.createDataFrame([], schema.BLOCK)
     blocks = spark.read.schema(f"{schema.BLOCK}, batch int").parquet(path).drop("batch", "block_id")
     numbers = layout.ranked(blocks.select(F.col("archive_id_start").alias("start")), ["start"])
-    return blocks.join(numbers, F.col("archive_id_start") == F.col("start")).select(F.col("rank").cast("int").alias("block_id"), *blocks.columns)
+    columns = [c.split()[0] for c in schema.BLOCK.split(", ")]
+    return blocks.join(numbers, F.col("archive_id_start") == F.col("start")).withColumn("block_id", F.col("rank").cast("int")).select(*columns)
+
+
+def finish_archive(spark: SparkSession, path: str, archive: str, paired: bool = False, pe_layout: str = "interleaved", kind: str = "", quality_mode: str = "none", id_mode: str = "tokenize", filename: str = "", force: bool = False) -> None:
+    """The streamed blocks as an archive, the counts in its manifest. The length class that was taken for granted is medium."""
+    if not force and shared.exists(spark, archive):
+        raise FormatError(f"{archive} is already there")
+    staged = f"{archive.rstrip('/')}.part-{uuid.uuid4().hex}"
+    blocks = finish(spark, path)
+    if paired and (blocks.agg(F.sum("read_count")).first()[0] or 0) % 2:
+        raise FormatError("pairs need an even number of reads")
+    blocks.write.parquet(f"{staged}/blocks")
+    store.finish_archive(spark, staged, {"original_filename": filename, "is_paired": paired, "has_reorder_map": False, "preserve_order": True, "streaming_mode": True, "quality_mode": quality_mode, "id_mode": id_mode, "pe_layout": pe_layout, "read_length_class": kind or layout.default_stats("streaming")[0]})
+    store.commit(spark, staged, archive)

@@ -3,15 +3,16 @@ import gzip
 import lzma
 import random
 
+import numpy as np
 import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from helixframe import cli
-from helixframe.errors import FormatError, ResourceError, UnsupportedFormat
+from helixframe import cli, errors
+from helixframe.errors import FormatError, ResourceError, SourceError, UnsupportedFormat, UsageError
 from helixframe.functions import sequence as fn
-from helixframe.operators import codecs, layout, similarity, store
+from helixframe.operators import admission, codecs, container, layout, similarity, store
 from helixframe.sources import fastq
 from helixframe.streaming import ingest
 
@@ -140,8 +141,9 @@ def test_archive_from_the_command_line(spark, tmp_path, capsys):
     out = str(tmp_path / "a")
     cli.run(spark, ["compress", "-i", str(tmp_path / "1.fq"), "-o", out, "--reorder"])
     cli.run(spark, ["verify", "-i", out])
-    cli.run(spark, ["info", "-i", out])
-    assert '"total_reads":30' in capsys.readouterr().out
+    cli.run(spark, ["info", "-i", out, "--json", "--detailed", "--show-codecs"])
+    said = capsys.readouterr().out
+    assert '"total_reads":30' in said and "block 0: first 0, reads 30" in said and "ids " in said
     cli.run(spark, ["decompress", "-i", out, "-o", str(tmp_path / "o"), "--original-order"])
     assert "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*"))) == text_of(30)
     cli.run(spark, ["d", "-i", out, "-o", str(tmp_path / "h"), "--header-only", "--range", "2:3"])
@@ -169,7 +171,7 @@ def test_a_changed_block_is_found(spark, tmp_path):
 
 def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "1.fq").write_text(text_of(25))
-    stream = ingest.read_stream(spark, str(tmp_path / "1.fq"), rows_per_batch=10)
+    stream = ingest.read_stream(spark, str(tmp_path / "1.fq"), rows_per_slice=10, slices_per_batch=1)
     query = ingest.append_blocks(stream, str(tmp_path / "b"), str(tmp_path / "c"), 10, kind="medium")
     for _ in range(120):
         query.processAllAvailable()
@@ -179,3 +181,223 @@ def test_stream_equals_batch(spark, tmp_path):
     blocks = ingest.finish(spark, str(tmp_path / "b"))
     assert sorted(store.decode_blocks(blocks).collect()) == sorted(fastq.read_fastq(spark, str(tmp_path / "1.fq")).collect())
     assert store.structure_errors(blocks, 25).count() == 0
+
+
+def test_sniff_falls_back_to_the_extension():
+    assert [fastq.sniff(h, p) for h, p in ((b"\x1f\x8b", "x.fq"), (b"@r1 AC", "x.gz"), (b"", "x.ZST"), (b"@r1", "x.fq"), (b"@r1", "xz"), (b"BZh9", "x.gz"))] == ["gzip", "gzip", "zstd", "plain", "xz", "bzip2"]
+
+
+def numbered(first, n, size=20):
+    return "".join(f"@r{i} c{i}\n{'ACGT' * (size // 4 + i % 3)}\n+\n{'IIII' * (size // 4 + i % 3)}\n" for i in range(first, first + n))
+
+
+def check_numbers(df, n):
+    rows = sorted(df.collect())
+    assert [(r.read_idx, r.id, r.comment) for r in rows] == [(i, f"r{i}", f"c{i}") for i in range(n)]
+    assert all(len(r.sequence) == 20 + 4 * (i % 3) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("split", [40, 100, 333, 5000, 1 << 20])
+def test_many_files_and_splits_are_numbered_in_order(spark, tmp_path, split):
+    at = 0
+    for name, n in (("a", 1), ("b", 3), ("c", 200), ("d", 50)):
+        (tmp_path / name).write_text(numbered(at, n))
+        at += n
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    check_numbers(fastq.read_text_fastq(session, str(tmp_path)), 254)
+
+
+def test_compressed_files_beside_plain_ones(spark, tmp_path):
+    import gzip
+    import lzma
+
+    (tmp_path / "a.fq.gz").write_bytes(gzip.compress(numbered(0, 30).encode()))
+    (tmp_path / "b.fq").write_text(numbered(30, 20))
+    (tmp_path / "c.fq.xz").write_bytes(lzma.compress(numbered(50, 7).encode()))
+    check_numbers(fastq.read_fastq(spark, str(tmp_path)), 57)
+    check_numbers(fastq.read_fastq(spark, f"{tmp_path}/a.fq.gz,{tmp_path}/b.fq"), 50)
+
+
+def test_a_file_of_three_lines_is_cut_short(spark, tmp_path):
+    (tmp_path / "a").write_text("@a\nAC\n+\n")
+    with pytest.raises(FormatError, match="record 1 is cut short"):
+        fastq.read_text_fastq(spark, str(tmp_path / "a"))
+    (tmp_path / "e").write_text("")
+    assert fastq.read_text_fastq(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_slices_cover_every_record_once(tmp_path):
+    (tmp_path / "a").write_text(numbered(0, 103)[:-1])
+    for rows, piece in ((1, 64), (10, 50), (10, 1 << 20), (1000, 1 << 20), (1000, 64)):
+        stream = fastq.SliceStream({"path": str(tmp_path / "a"), "rowsPerSlice": rows, "slicesPerBatch": 3})
+        at, seen, ends = stream.initialOffset(), [], []
+        while True:
+            found, end = stream.read(at)
+            found = list(found)
+            if not found:
+                break
+            assert list(stream.readBetweenOffsets(at, end)) == found
+            for s in found:
+                seen += [r[0] for r in fastq.reads_of(s)]
+            at = end
+        assert seen == list(range(103)), rows
+        at, n = 0, 0
+        while part := fastq.cut_plain(str(tmp_path / "a"), at, n, rows, piece):
+            at, n = part[-1][3], fastq.lines_of(part[-1])
+        assert n == 103
+
+
+def test_pairs_of_unequal_files_are_an_error(tmp_path):
+    (tmp_path / "1").write_text(numbered(0, 25))
+    (tmp_path / "2").write_text(numbered(0, 24))
+    stream = fastq.PairStream({"path": str(tmp_path / "1"), "path2": str(tmp_path / "2"), "rowsPerSlice": 10})
+    with pytest.raises(FormatError, match="mates"):
+        stream.read(stream.initialOffset())
+
+
+def test_command_line_streaming_pairs_and_ranges(spark, tmp_path, capsys):
+    for m in "12":
+        (tmp_path / m).write_text(numbered(0, 25))
+    for layout_, extra in (("interleaved", []), ("consecutive", []), ("consecutive", ["--streaming"]), ("interleaved", ["--streaming", "--pipeline"])):
+        out = str(tmp_path / f"a{layout_}{len(extra)}")
+        cli.run(spark, ["-q", "c", "-i", str(tmp_path / "1"), "-2", str(tmp_path / "2"), "-o", out, "--pe-layout", layout_, *extra])
+        cli.run(spark, ["v", "-i", out, "--verbose", "--fail-fast"])
+        cli.run(spark, ["x", "-i", out, "-o", f"{out}.fq", "--split-pe"])
+        for m in (1, 2):
+            assert "".join(p.read_text() for p in sorted(tmp_path.glob(f"a{layout_}{len(extra)}_R{m}.fq/part-*"))) == numbered(0, 25)
+        with pytest.raises(SourceError):
+            cli.run(spark, ["x", "-i", out, "-o", f"{out}.fq", "--split-pe"])
+    capsys.readouterr()
+    cli.run(spark, ["d", "-i", out, "-o", "-", "--range", "1:2"])
+    assert capsys.readouterr().out == numbered(0, 1) * 2
+    with pytest.raises(UsageError):
+        cli.run(spark, ["c", "-i", "-", "-2", "x", "-o", "y"])
+
+
+def test_overwriting_never_mixes_archives(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "a")
+    for n in (10, 20):
+        (tmp_path / f"{n}").write_text(numbered(0, n))
+    one, two = (fastq.read_fastq(spark, str(tmp_path / n)) for n in ("10", "20"))
+    store.write_archive(one, out, requested_block=5, kind="medium")
+    with pytest.raises(SourceError):
+        store.write_archive(two, out)
+    monkeypatch.setattr(store, "finish_archive", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError):
+        store.write_archive(two, out, "overwrite", requested_block=5)
+    assert store.read_archive(spark, out).count() == 10 and sorted(p.name for p in tmp_path.iterdir()) == ["10", "20", "a"]
+    monkeypatch.undo()
+    store.write_archive(two, out, "overwrite", requested_block=5, kind="medium")
+    assert store.read_archive(spark, out).count() == 20 and store.check_archive(spark, out).count() == 0
+    with pytest.raises(ResourceError):
+        store.read_archive(spark, out, budget=admission.DecodeBudget(100))
+
+
+def test_long_archives_with_coded_qualities_verify(spark, tmp_path):
+    (tmp_path / "1").write_text(numbered(0, 10))
+    store.write_archive(fastq.read_fastq(spark, str(tmp_path / "1")), str(tmp_path / "a"), kind="long", quality_codec="context")
+    cli.run(spark, ["v", "-i", str(tmp_path / "a")])
+    check_numbers(store.read_archive(spark, str(tmp_path / "a")), 10)
+
+
+def test_container_comes_back_and_refuses_damage(spark, tmp_path):
+    (tmp_path / "1").write_text(numbered(0, 30))
+    blocks = store.encode_blocks(fastq.read_fastq(spark, str(tmp_path / "1")), 8, "medium").persist()
+    file = tmp_path / "x.bin"
+    order = list(range(29, -1, -1))
+    assert container.export(blocks, str(file), 1 << 10, "né.fq", 7, order) == 30
+    opened = container.open_container(str(file))
+    assert (opened["header"]["original_filename"], opened["header"]["timestamp"], opened["header"]["total_read_count"], len(opened["index"])) == ("né.fq", 7, 30, 4)
+    assert container.read_map(str(file), opened) == (order, order)
+    check_numbers(store.decode_blocks(container.load_blocks(spark, str(file))), 30)
+    assert container.contains_read(opened["index"][1], 15) and not container.contains_read(opened["index"][1], 16)
+    data = file.read_bytes()
+    first = opened["index"][0]["offset"]
+    damaged = {"unknown": b"x" + data[1:], "sequential": container.MAGIC_SEQUENTIAL + data[8:], "version": data[:8] + b"\x30" + data[9:], "short": data[:20], "footer": data[:-1] + b"x", "index": data[:-32] + (1 << 60).to_bytes(8, "little") + data[-24:], "header": data[: first + 4] + b"\x09" + data[first + 5 :], "reserved": data[: first + 13] + b"\x01" + data[first + 14 :]}
+    for what, bad in damaged.items():
+        file.write_bytes(bad)
+        with pytest.raises(UnsupportedFormat if what in ("sequential", "version") else FormatError):
+            container.open_container(str(file))
+    with pytest.raises(UnsupportedFormat):
+        fastq.refuse_foreign("x", data[:8])
+
+
+def test_larger_sections_are_passed_over():
+    head = container.write_global(5, 3, "a", 9)
+    grown = (len(head) + 4).to_bytes(4, "little") + head[4:] + b"more"
+    import io
+
+    f = io.BytesIO(grown + b"next")
+    assert container.read_global(f)["flags"] == 5 and f.read() == b"next"
+    entry = container.put(container.ENTRY, offset=1, read_count=2)
+    f = io.BytesIO(container.put(container.INDEX, header_size=20, entry_size=30, num_blocks=2) + b"xxxx" + (entry + b"yy") * 2)
+    assert [e["read_count"] for e in container.read_index(f, 1000, admission.DecodeBudget(1 << 30))] == [2, 2]
+    assert [container.size_of(x) for x in (container.GLOBAL, container.BLOCK, container.INDEX, container.ENTRY, container.MAP, container.FOOTER)] == [26, 104, 16, 28, 32, 32]
+
+
+def test_admission_numbers(tmp_path):
+    (tmp_path / "m").write_text("MemTotal: 9 kB\nMemAvailable:  2048000 kB\n")
+    assert admission.available_mb(str(tmp_path / "m")) == 2000 and admission.available_mb(str(tmp_path / "none")) == 8192
+    b = admission.DecodeBudget.resolve(1)
+    assert (b.limit, b.allocation, b.blocks, b.reads, b.automatic) == (16 << 20, 8 << 20, 262_144, 524_288, False)
+    assert admission.DecodeBudget.resolve(0).automatic and b.original_order_peak(10, 100) == 160 + 6400 + 200
+    assert (b.batch(4, 1), admission.DecodeBudget(1 << 40).batch(100, 1), b.batch(0, 1 << 20)) == (8, 64, 2)
+    for call in (lambda: b.check_allocation(9 << 20), lambda: b.check_index(1 << 30, 1 << 40, 28), lambda: b.check_index(10, 100, 28), lambda: b.check_reads(1 << 30), lambda: b.check_original_order(1 << 20, 0), lambda: b.check_block(6 << 20), lambda: b.batch(1, 6 << 20)):
+        with pytest.raises(ResourceError):
+            call()
+    m = admission.MemoryBudget.of(8192)
+    assert (m.buffer_mb, m.second_pass_bytes, m.block_reads(8), admission.MemoryBudget.of(1).total_mb) == (512, (8192 - 576) << 20, 500_000, 256)
+    c = admission.Chunking.of(100_000_000, 150, 100_000, 8, 1024)
+    assert c.chunks == -(-(100_000_000 * 554 // (1 << 20)) // 1024) and "chunks" in str(c) and admission.Chunking.of(10, 150, 100, 1, 1024).chunks == 1
+
+
+def test_errors_have_their_exit_codes():
+    assert [getattr(errors, n).exit_code for n in ("SourceError", "FormatError", "EncodeError", "DecodeError", "UsageError", "ChecksumError", "CorruptBlock", "UnsupportedVersion", "ParseError", "UnsupportedFormat", "ResourceError")] == [2, 3, 2, 3, 1, 4, 4, 5, 3, 5, 1]
+    assert cli.main(["info", "-i", "/none/there"]) == 5
+
+
+def test_path_of_nearest_reads():
+    sizes, hashes = [10, 30, 12, 11, 50], [[1], [1, 2], [1], [2], []]
+    assert similarity.path(sizes, hashes, 64) == [0, 2, 1, 3, 4]
+    assert similarity.path(sizes, hashes, 1) == [0, 1, 2, 3, 4] and similarity.path([], [], 64) == []
+    draw = random.Random(4)
+    sizes, hashes = [draw.randrange(20) for _ in range(60)], [[draw.randrange(8) for _ in range(draw.randrange(4))] for _ in range(60)]
+    for limit in (1, 3, 64):
+        left, now, want = set(range(60)), 0, []
+        while now is not None:
+            left.discard(now)
+            want.append(now)
+            seen = [i for h in hashes[now] for i in sorted(left) if h in hashes[i]][:limit]
+            now = min(seen, key=lambda i: (abs(sizes[i] - sizes[now]), seen.index(i))) if seen else min(left, default=None)
+        assert similarity.path(sizes, hashes, limit) == want
+
+
+def test_alignment_by_brute_force():
+    draw = random.Random(9)
+    rc = str.maketrans("ACGT", "TGCA")
+    reference = "".join(draw.choices("ACGT", k=40))
+    texts = [reference[a : a + 30] for a in (0, 5, 10)] + [reference[3:33].translate(rc)[::-1], "".join(draw.choices("ACGTN", k=25)), "A"]
+    width = max(map(len, texts))
+    forms = [np.array([list(f(t).ljust(width, "\0").encode()) for t in texts], np.uint8) for f in (str, lambda t: t.translate(rc)[::-1])]
+    cost, shift, strand = similarity.align(*forms, np.array([len(t) for t in texts]), np.frombuffer(reference.encode(), np.uint8), 32)
+    for i, t in enumerate(texts):
+        best = None
+        for turned in (False, True):
+            x = t.translate(rc)[::-1] if turned else t
+            for s in range(-32, 33):
+                pairs = [(x[p], reference[p + s]) for p in range(len(x)) if 0 <= p + s < len(reference)]
+                if pairs and (best is None or sum(a != b for a, b in pairs) + len(x) - len(pairs) < best[0]):
+                    best = (sum(a != b for a, b in pairs) + len(x) - len(pairs), s, turned)
+        assert (cost[i], shift[i], strand[i]) == best
+
+
+def test_for_each_sees_every_read(spark, tmp_path):
+    (tmp_path / "1").write_text(numbered(0, 12))
+    assert fastq.for_each(fastq.read_fastq(spark, str(tmp_path / "1")), lambda r: None) == 12
+
+
+def test_reordering_is_for_single_short_reads_only():
+    assert [layout.reorder_allowed(*x) for x in ((True, "short", False), (True, "medium", False), (True, "short", True), (False, "short", False))] == [True, False, False, False]
+    assert layout.default_stats("streaming") == ("medium", 1024) and layout.default_stats("pipeline") == ("short", 150)
