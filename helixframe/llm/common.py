@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,10 @@ BATCH_BYTES = 4 << 20
 SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
     "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
+#: Removes a query's shuffle files when it ends. Only writes ask for it, as they end with the query: a table that
+#: is read row by row afterwards (toLocalIterator) would lose its files while it is read, and with them, silently, rows.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _kept: dict = {}
 _roots: dict[str, str] = {}
 
@@ -87,11 +90,25 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def cleanup(spark: SparkSession):
+    """Shuffle files of the writes within go when each write ends. What the session has set itself stays as it is."""
+    own = CLEANUP in spark.conf.getAll
+    if not own:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(CLEANUP)
+
+
 def store(df: DataFrame, label: str, **options) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here."""
+    """Write df once to the shared folder and read it back: lineage ends here, and the write's shuffle files go with it."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.options(**options).parquet(path)
+    with cleanup(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

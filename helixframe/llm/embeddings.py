@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import connected_components, forget, scratch, store
+from helixframe.llm.common import cleanup, connected_components, forget, scratch, store
 
 #: Bytes of vectors in a chunk of a bucket, and of rows that a task gathers.
 CHUNK_BYTES, UNIT_BYTES = 1 << 20, 16 << 20
@@ -151,7 +151,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, recall: float = 0.999
         full = full.withColumn("lo", F.least("mine", "with")).withColumn("hi", F.greatest("mine", "with"))
         units = max(spark.sparkContext.defaultParallelism, -(-size // UNIT_BYTES))
         work = full.select("class_id", "copies", "dim", "x", "sigs", "s", "mine", "lo", "hi", F.pmod(F.xxhash64("s", "dim", "lo", "hi"), F.lit(units)).alias("unit"))
-        work.groupBy("unit").applyInArrow(meet(t), "src bigint, more bigint, dst bigint").write.mode("append").parquet(path)
+        with cleanup(spark):
+            work.groupBy("unit").applyInArrow(meet(t), "src bigint, more bigint, dst bigint").write.mode("append").parquet(path)
 
     met = spark.read.schema("src bigint, more bigint, dst bigint").parquet(path) if gathered else spark.createDataFrame([], "src bigint, more bigint, dst bigint")
     found = connected_components(met.select("src", "dst"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import connected_components, forget, scratch, store, worker_cache
+from helixframe.llm.common import cleanup, connected_components, forget, scratch, store, worker_cache
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of variants a task gathers for one bucket, and fingerprints that one task expands.
@@ -164,7 +164,8 @@ def ball_edges(points: DataFrame, radius: int = 4, pass_bits: int = 3) -> DataFr
 
     for which in range(passes):
         found = deal.mapInArrow(expand(which), "bucket bigint, variants binary, codes binary").groupBy("bucket").applyInArrow(meet, "src bigint, dst bigint")
-        found.distinct().write.mode("append").parquet(path)
+        with cleanup(spark):
+            found.distinct().write.mode("append").parquet(path)
     forget(deal)
     out = spark.read.schema("src bigint, dst bigint").parquet(path).distinct()
     out.scratch_path = path

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import BATCH_BYTES, drop, forget, scratch, store
+from helixframe.llm.common import BATCH_BYTES, cleanup, drop, forget, scratch, store
 
 CRLF = "\r\n"
 PRIMARY = ("response", "revisit", "resource")
@@ -86,7 +86,8 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-0
     for k in kinds:
         most = 3 * max(1, file_bytes // CLASSES[k]) if k < len(CLASSES) else 3
         part = rows if len(kinds) == 1 else rows.where(kind == k)
-        part.select(records.alias("value")).write.mode("append").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
+        with cleanup(pages.sparkSession):
+            part.select(records.alias("value")).write.mode("append").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
     if not kinds:
         rows.select(records.alias("value")).write.mode("append").text(path)
     forget(known, again)

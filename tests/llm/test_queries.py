@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import queries
-from helixframe.llm.common import held_out
+from helixframe.llm.common import CLEANUP, cleanup, held_out
 
 SF = "/root/testdata/sf0.001"
 LONG, TEXT, FLAG, REAL = "bigint", "string", "boolean", "double"
@@ -37,6 +37,26 @@ def results(spark):
         df.unpersist()
 
 
+def test_operators_leave_the_session_as_it_was(spark):
+    """Shuffle files go with the operators' own writes alone: a user's tables are read row by row without loss."""
+    assert CLEANUP not in spark.conf.getAll
+    with pytest.raises(ZeroDivisionError), cleanup(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+        raise ZeroDivisionError
+    assert CLEANUP not in spark.conf.getAll
+    spark.conf.set(CLEANUP, "false")
+    try:
+        with cleanup(spark):
+            assert spark.conf.get(CLEANUP) == "false"
+    finally:
+        spark.conf.unset(CLEANUP)
+    for name in ("op1_warc", "op8_embeddings", "op9_simhash"):
+        got = queries.queries()[name](spark, SF)
+        key = got.columns[0]
+        assert CLEANUP not in spark.conf.getAll
+        assert len(list(got.orderBy(key).toLocalIterator())) == got.count()
+
+
 def test_there_is_a_query_for_every_operator():
     assert list(queries.queries()) == list(CONTRACT)
 
