@@ -28,16 +28,20 @@ from helixframe.llm.common import forget, scratch, store, worker_cache
 
 WORD = re.compile(r"\w+")
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of hashes that one pass's index is made of, beside its number of items.
+PASS_BYTES = 64 << 20
 MATCHES = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double"
 
 
 class Hashes(dict):
-    """Word to 64-bit hash; cleared when it is full."""
+    """Word to 64-bit hash; cleared when it is full. Words of more than 64 characters are not kept."""
 
     def __missing__(self, word):
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 5)
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 5)
+        if len(word) <= 64:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -148,7 +152,8 @@ def items_of(benchmark: DataFrame, shingle: int, items_per_pass: int) -> DataFra
 
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     items = store(rows.mapInArrow(run, "item_id bigint, size int, hashes binary"), "decontamination-items")
-    passes = -(-items.count() // items_per_pass) or 1
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["n"] // items_per_pass), -(-size["bytes"] // PASS_BYTES))
     return items.withColumn("pass_", F.pmod(F.xxhash64("item_id", "hashes"), F.lit(passes)).cast("int"))
 
 

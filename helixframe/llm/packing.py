@@ -42,12 +42,16 @@ SIMPLE = re.compile("[a-zß-öø-ÿ0-9!-&(-/:-@\\[-`{-~]+")
 PART = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 
 
+#: Bytes of the longest word a worker keeps, so that the number of words bounds the memory of its cache.
+KEPT_BYTES = 32
+
+
 def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> list[bytes]:
     """Little-endian 32-bit ids of each text by a tokenizer that drops white space and case.
 
     White space always ends a pre-token of such a tokenizer, so a text's ids are
-    those of its words in a row; each worker keeps a bounded cache of words,
-    A-Z lower-cased. Texts that may hold a special token go to the library whole.
+    those of its words in a row; each worker keeps a cache of at most `cache_size` words of at most
+    KEPT_BYTES bytes, A-Z lower-cased; longer ones are encoded wherever they stand. Texts that may hold a special token go to the library whole.
     """
     own, cache = encoder(path), worker_cache("packing").setdefault(path, {})
     split = [t.encode("utf-8", "replace").lower().split() if "<|" not in t else () for t in texts]
@@ -58,7 +62,7 @@ def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> li
         found = dict(zip(new, encode_words(own, [w.decode() for w in new]), strict=True))
         for i in short:
             known[i] = [found[w] if ids is None else ids for w, ids in zip(split[i], known[i], strict=True)]
-        cache.update(islice(found.items(), max(0, cache_size - len(cache))))
+        cache.update(islice(((w, ids) for w, ids in found.items() if len(w) <= KEPT_BYTES), max(0, cache_size - len(cache))))
     return [b"".join(ids) if "<|" not in t else np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ids in zip(texts, known, strict=True)]
 
 

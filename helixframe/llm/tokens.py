@@ -24,6 +24,9 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 #: Outside these ranges Unicode versions of regex engines may differ: the library then takes the whole text.
 UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ʯΑ-ΡΣ-ϿЀ-ҁҊ-ԯ‐-‧€ぁ-ゖァ-ヺ一-龥가-힣]")
 
+#: Characters of the longest pre-token that the sample's table and a worker's cache hold.
+KEPT = 64
+
 _encoders: dict = {}
 
 
@@ -40,7 +43,7 @@ def encoder(path: str):
 def frequent_table(docs: DataFrame, path: str, sample_rows: int = 4000, size: int = 65_536) -> dict[str, int]:
     """Lengths of at most `size` pre-tokens: the most frequent of about `sample_rows` rows, then the vocabulary's own.
 
-    The sample is spread over the table and counted where its rows are; only the counts of pre-tokens of at most 64
+    The sample is spread over the table and counted where its rows are; only the counts of pre-tokens of at most KEPT
     characters leave them, at most 4 * `size` a task. The table only saves time; no result depends on what it holds.
     """
     own = encoder(path)
@@ -51,7 +54,7 @@ def frequent_table(docs: DataFrame, path: str, sample_rows: int = 4000, size: in
         for b in batches:
             for text in b.column("text").to_pylist():
                 if text and not UNUSUAL.search(text):
-                    counts.update(w for w in PRE_TOKEN.findall(text) if len(w) <= 64)
+                    counts.update(w for w in PRE_TOKEN.findall(text) if len(w) <= KEPT)
             if len(counts) > 8 * size:
                 counts = Counter(dict(counts.most_common(4 * size)))
         best = counts.most_common(4 * size)
@@ -81,27 +84,27 @@ def count_batch(texts: list[str | None], path: str, table: dict[str, int], cache
     parts = [PRE_TOKEN.findall(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
     new = set(chain.from_iterable(parts)).difference(table).difference(cache)
     found = dict(zip(new, map(len, own.encode_batch_fast(list(new), add_special_tokens=False)), strict=True)) if new else {}
-    if len(cache) + len(found) <= cache_size:
-        cache.update(found)
-        found = cache
-    elif found:
-        found = {**found, **{w: cache[w] for w in set(chain.from_iterable(parts)).intersection(cache)}}
-    else:
-        found = cache
+    short = {w: n for w, n in found.items() if len(w) <= KEPT}
+    if len(cache) + len(short) <= cache_size:
+        cache.update(short)
+        if len(short) == len(found):
+            found = {}
     if kept.get("table") is not table:
         kept["table"], kept["known"] = table, _Both(table)
     known = kept["known"]
-    known.rest = found
+    known.cache, known.rest = cache, found
     return [sum(map(known.__getitem__, p)) if ok else (len(own.encode(t, add_special_tokens=False)) if t else 0) for t, ok, p in zip(texts, plain, parts, strict=True)]
 
 
 class _Both(dict):
-    """Both tiers as one mapping: the table is copied once per process, the cache read on a miss."""
+    """Both tiers as one mapping: the table is copied once per process; on a miss the cache is read, then what a batch has but the cache doesn't keep."""
 
+    cache: dict = {}
     rest: dict = {}
 
     def __missing__(self, word):
-        return self.rest[word]
+        n = self.cache.get(word)
+        return self.rest[word] if n is None else n
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, sample_rows: int = 4000, table_size: int = 65_536) -> DataFrame:

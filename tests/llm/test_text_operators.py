@@ -226,6 +226,15 @@ def test_decontamination_against_all_windows(spark):
     assert kept == {r.doc_id for r in more.collect()} - {d for d, _ in got}
 
 
+def test_passes_by_bytes_find_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.find_matches(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 4000)
+    assert decontaminate.items_of(bench, 5, 20_000).select("pass_").distinct().count() > 1
+    assert want and sorted(map(tuple, decontaminate.find_matches(docs, bench).collect())) == want
+
+
 def test_truncated_items_are_found(spark):
     item = [f"w{i}" for i in range(40)]
     cut = {1: item[:-1], 2: item[1:], 3: item[2:-2], 4: item[:-8], 5: item[4:36], 6: item, 7: item[:4]}

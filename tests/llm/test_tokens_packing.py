@@ -42,6 +42,19 @@ def test_a_full_cache_changes_nothing():
         assert tokens.count_batch(texts, path, {"alpha": 1}, size)[1:] == [len(own.encode(t).ids) for t in texts][1:]
 
 
+def test_caches_keep_short_words_only():
+    texts = [f"short {'long' * 40}{i} {'中文' * 60}{i}" for i in range(4)]
+    for name, run, kept, most in (("byte_bpe_50k.json", tokens.count_batch, "token counts", tokens.KEPT), ("word_bpe_49k.json", packing.encode_batch, "packing", packing.KEPT_BYTES)):
+        path = public_tokenizers.path(name)
+        want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+        worker_cache(kept).clear()
+        for _ in range(2):
+            got = run(texts, path, {}) if kept == "token counts" else run(texts, path)
+            assert got == [len(ids) if kept == "token counts" else np.array(ids, "<u4").tobytes() for ids in want]
+        cache = worker_cache(kept)[path]
+        assert cache and max(map(len, cache)) <= most
+
+
 def test_another_table_is_never_taken_for_the_last_one():
     path = public_tokenizers.path("byte_bpe_50k.json")
     for n in range(1, 6):  # each table may stand where the one before it stood
