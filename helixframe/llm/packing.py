@@ -17,7 +17,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +52,31 @@ def encode_batch(texts: list[str], path: str, cache_size: int = 1_000_000) -> li
     those of its words in a row; each worker keeps a cache of at most `cache_size` words of at most
     KEPT_BYTES bytes, A-Z lower-cased; longer ones are encoded wherever they stand. Texts that may hold a special token go to the library whole.
     """
-    own, cache = encoder(path), worker_cache("packing").setdefault(path, {})
-    split = [t.encode("utf-8", "replace").lower().split() if "<|" not in t else () for t in texts]
-    known = [list(map(cache.get, words)) for words in split]  # one look-up a word: they are most of the time
-    short = [i for i, ids in enumerate(known) if None in ids]
-    if short:
-        new = list({w for i in short for w, ids in zip(split[i], known[i], strict=True) if ids is None})
-        found = dict(zip(new, encode_words(own, [w.decode() for w in new]), strict=True))
-        for i in short:
-            known[i] = [found[w] if ids is None else ids for w, ids in zip(split[i], known[i], strict=True)]
-        cache.update(islice(((w, ids) for w, ids in found.items() if len(w) <= KEPT_BYTES), max(0, cache_size - len(cache))))
-    return [b"".join(ids) if "<|" not in t else np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ids in zip(texts, known, strict=True)]
+    kept = worker_cache("packing")
+    known = kept.get(path)
+    if known is None:
+        known = kept[path] = Words(encoder(path))
+    known.begin(cache_size)
+    ids_of = known.__getitem__
+    return [b"".join(map(ids_of, t.encode("utf-8", "replace").lower().split())) if "<|" not in t else np.array(known.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+class Words(dict):
+    """Ids of words; one that is new is encoded at its first look-up, and kept while there is room, else for its batch."""
+
+    def __init__(self, own):
+        self.own, self.room, self.batch, self.parts = own, 0, {}, {}
+
+    def begin(self, room: int) -> None:
+        self.room, self.batch, self.parts = room, {}, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.batch.get(word)
+        if ids is None:
+            ids = encode_word(self.own, word.decode(), self.parts)
+            kept = self if len(self) < self.room and len(word) <= KEPT_BYTES else self.batch
+            kept[word] = ids
+        return ids
 
 
 _cutters: dict = {}
@@ -90,24 +103,20 @@ def _cutter(own):
     return _cutters[id(own)][1]
 
 
-def encode_words(own, words: list[str]) -> list[bytes]:
-    """Ids of each word without white space, A-Z lower-cased: simple ones by their pre-tokens, others by the library."""
-    cut, out, made, rest = _cutter(own), [], {}, []
-    for word in words:
-        if cut is None or not SIMPLE.fullmatch(word):
-            rest.append(len(out))
-            out.append(None)
-            continue
-        ids = []
-        for part in (word,) if word.isalpha() else PART.findall(word):
-            got = made.get(part)
-            if got is None:
-                got = made[part] = cut(part)
-            ids.append(got)
-        out.append(b"".join(ids))
-    for i, e in zip(rest, own.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, "<u4").tobytes()
-    return out
+def encode_word(own, word: str, made: dict[str, bytes]) -> bytes:
+    """Ids of a word without white space, A-Z lower-cased: a simple one by its pre-tokens, of which `made` holds those known, others by the library."""
+    cut = _cutter(own)
+    if cut is None or not SIMPLE.fullmatch(word):
+        return np.array(own.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    if word.isalpha():
+        return cut(word)
+    ids = []
+    for part in PART.findall(word):
+        got = made.get(part)
+        if got is None:
+            got = made[part] = cut(part)
+        ids.append(got)
+    return b"".join(ids)
 
 
 class Schedule:
