@@ -401,3 +401,27 @@ def test_for_each_sees_every_read(spark, tmp_path):
 def test_reordering_is_for_single_short_reads_only():
     assert [layout.reorder_allowed(*x) for x in ((True, "short", False), (True, "medium", False), (True, "short", True), (False, "short", False))] == [True, False, False, False]
     assert layout.default_stats("streaming") == ("medium", 1024) and layout.default_stats("pipeline") == ("short", 150)
+
+
+def test_only_reads_that_can_fit_are_aligned(monkeypatch):
+    draw, tried, align = random.Random(12), [], similarity.align
+    monkeypatch.setattr(similarity, "align", lambda reads, *a: tried.append(len(reads)) or align(reads, *a))
+    apart = ["".join(draw.choices("ACGT", k=64)) for _ in range(120)]
+    assert len(similarity.contigs(apart)) == 120 and not tried
+    codes = np.full(256, 4, np.uint8)
+    codes[np.frombuffer(b"ACGTN", np.uint8)] = np.arange(5)
+    rc, seen = str.maketrans("ACGT", "TGCA"), 0
+    for size in (5, 40, 64, 70, 150):
+        genome = "".join(draw.choices("ACGT", k=2 * size))
+        texts = [genome[(a := draw.randrange(size // 2)) : a + draw.randrange(size // 2, size)] for _ in range(30)] + ["N" * size, "", "A"]
+        texts = ["".join(c if draw.random() > 0.1 else draw.choice("ACGTN") for c in t) for t in texts]
+        sizes = np.array([len(t) for t in texts])
+        forms = np.array([[list(f(t).ljust(192, "\0").encode()) for t in texts] for f in (str, lambda t: t.translate(rc)[::-1])], np.uint8)
+        for r in (0, 7, 30):
+            reference = np.frombuffer(texts[r].encode(), np.uint8)
+            maybe, shifts = similarity.within(similarity.planes(forms, codes, sizes), 192, 0, reference, codes, 32, 16)
+            cost, shift, strand = align(*forms, sizes, reference, 32)
+            for i in np.flatnonzero(cost <= 16):
+                assert maybe[int(strand[i]), i, shifts.index(int(shift[i]))]
+                seen += 1
+    assert seen > 50
