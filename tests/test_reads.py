@@ -425,3 +425,26 @@ def test_only_reads_that_can_fit_are_aligned(monkeypatch):
                 assert maybe[int(strand[i]), i, shifts.index(int(shift[i]))]
                 seen += 1
     assert seen > 50
+
+
+def test_coded_qualities_keep_their_bytes_in_few_steps(monkeypatch):
+    """Checksums of what the bit-by-bit coder wrote; each symbol narrows the range once, however many bits that settles."""
+    import hashlib
+
+    draw, steps, narrowed = random.Random(21), [], codecs.narrowed
+    monkeypatch.setattr(codecs, "narrowed", lambda *a: steps.append(1) or narrowed(*a))
+    for alphabet, n, size, order, want in QUALITIES:
+        values = ["".join(draw.choices(alphabet, k=size)) for _ in range(n)]
+        data = codecs.encode_qualities(values, order)
+        assert hashlib.md5(codecs.expand(data)).hexdigest() == want
+        assert codecs.decode_qualities(data, [size] * n, order) == values
+    assert len(steps) == 2 * sum(n * size for _, n, size, _, _ in QUALITIES)
+
+
+QUALITIES = [
+    ("#(-27;=?ACEFGHIJ", 50, 48, 2, "1573c50ff1c5667add267889a6fa0192"),
+    ("I", 3, 2500, 2, "1fd33154e5a028ef5046678b832b3109"),
+    ("III#", 4, 2500, 1, "ab6633590376aee8f7d62086b7221e2e"),
+    ("".join(map(chr, range(33, 127))), 9, 70, 1, "b6fe2e24338ecb8ea02f4b790935d4d7"),
+    ("!~", 3, 1, 2, "bb6fe7c974f00a7b6305870eb5250c4f"),
+]
