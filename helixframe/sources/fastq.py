@@ -145,17 +145,17 @@ def local_files(path: str) -> list[str]:
 def cut_plain(path: str, start: int, first: int, rows: int, piece: int = 1 << 20) -> list[tuple]:
     """Slices (path, first read, first byte, end) of up to `rows` whole records each, of as many as end within a `piece` of the next batch's reach.
 
-    Only line ends are looked at. A last record without a line end is whole once its fourth line has begun.
+    They end at multiples of `rows`, so after a file's last slice, which may be shorter, the next file's first one makes up for it. Only line ends are looked at. A last record without a line end is whole once its fourth line has begun.
     """
     out, at, lines, kept = [], start, 0, 0
     with open(path, "rb") as f:
         f.seek(start)
         while data := f.read(piece):
             ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-            for k in range(4 * rows - lines - 1, len(ends), 4 * rows):
+            for k in range(4 * (rows - first % rows) - lines - 1, len(ends), 4 * rows):
                 stop = start + kept + int(ends[k]) + 1
                 out.append((path, first, at, stop))
-                first, at = first + rows, stop
+                first, at = first + rows - first % rows, stop
             lines, kept = (lines + len(ends)) % (4 * rows) if out else lines + len(ends), kept + len(data)
             if out:
                 return out
@@ -194,7 +194,7 @@ def reads_of(s) -> Iterator[tuple]:
 class SliceStream(SimpleDataSourceStreamReader):
     """Micro-batches of slices. The offset is a file, a byte and a read, so every byte is looked at once and a restart goes on where it stopped.
 
-    Plain files may grow; a compressed one is one slice.
+    A batch ends at a multiple of `rowsPerSlice` or with the data, so that it cuts no pair. Plain files may grow; a compressed one is one slice.
     """
 
     def __init__(self, options):
@@ -210,7 +210,7 @@ class SliceStream(SimpleDataSourceStreamReader):
                 at = {"file": path, "byte": 0, "next": at["next"]}
             with open(path, "rb") as f:
                 packed = sniff(f.read(6), path) != "plain"
-            while len(out) < self.slices and (stop is None or (path, at["byte"]) < (stop["file"], stop["byte"])):
+            while (len(out) < self.slices or at["next"] % self.rows) and (stop is None or (path, at["byte"]) < (stop["file"], stop["byte"])):
                 if packed and at["byte"] == 0:
                     with open(path, "rb") as f:
                         n = sum(1 for _ in open_text(f, path)) // 4
@@ -218,13 +218,13 @@ class SliceStream(SimpleDataSourceStreamReader):
                     at = {"file": path, "byte": 1, "next": at["next"] + n}
                 else:
                     found = [] if packed else cut_plain(path, at["byte"], at["next"], self.rows)
-                    found = found[: self.slices - len(out)]
+                    found = found[: max(1, self.slices - len(out))]
                     if found:
                         at = {"file": path, "byte": found[-1][3], "next": lines_of(found[-1])}
                 if not found:
                     break
                 out += found
-            if len(out) >= self.slices:
+            if len(out) >= self.slices and not at["next"] % self.rows:
                 break
         return out, at
 
@@ -252,14 +252,17 @@ class PairStream(SimpleDataSourceStreamReader):
     def plan(self, start, stop=None):
         out, at = [], dict(start)
         while len(out) < self.slices and (stop is None or at["byte"] < stop["byte"]):
-            a, b = (next(iter(cut_plain(p, at[k], at["next"], self.rows)), None) for p, k in ((self.one, "byte"), (self.two, "byte2")))
-            if a is None and b is None:
+            ones, twos = (cut_plain(p, at[k], at["next"], self.rows) for p, k in ((self.one, "byte"), (self.two, "byte2")))
+            if not ones and not twos:
                 break
-            n = [0 if s is None else lines_of(s) - s[1] for s in (a, b)]
-            if n[0] != n[1]:
-                raise FormatError(f"mates: after pair {at['next']} the files have {n[0]} and {n[1]} records")
-            out.append((*a, self.two, b[2], b[3]))
-            at = {"byte": a[3], "byte2": b[3], "next": at["next"] + n[0]}
+            for a, b in list(zip(ones or [None], twos or [None], strict=False))[: self.slices - len(out)]:
+                n = [0 if s is None else lines_of(s) - s[1] for s in (a, b)]
+                if n[0] != n[1]:
+                    raise FormatError(f"mates: after pair {at['next']} the files have {n[0]} and {n[1]} records")
+                if stop is not None and a[2] >= stop["byte"]:
+                    break
+                out.append((*a, self.two, b[2], b[3]))
+                at = {"byte": a[3], "byte2": b[3], "next": at["next"] + n[0]}
         return out, at
 
     def read(self, start):

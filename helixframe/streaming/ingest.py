@@ -13,20 +13,25 @@ from helixframe.errors import FormatError
 from helixframe.operators import layout, shared, store
 from helixframe.sources import fastq
 
+BATCH_READS = 640_000
 
-def read_stream(spark: SparkSession, path: str, rows_per_slice: int = 10_000, slices_per_batch: int = 64) -> DataFrame:
+
+def read_stream(spark: SparkSession, path: str, rows_per_slice: int = 10_000, slices_per_batch: int = 0) -> DataFrame:
     """Reads of a file, which may grow, of comma-separated ones, a glob or a folder.
 
-    The driver looks for line ends only and hands out slices; tasks parse them. `slices_per_batch` bounds what is under way.
+    The driver looks for line ends only and hands out slices; tasks parse them. `slices_per_batch` bounds what is under way; 0 is as many as
+    hold 640,000 reads.
     """
     fastq.register(spark)
+    slices_per_batch = slices_per_batch or max(1, BATCH_READS // rows_per_slice)
     slices = spark.readStream.format("fastq_slices").option("rowsPerSlice", str(rows_per_slice)).option("slicesPerBatch", str(slices_per_batch)).load(path)
     return fastq.parse_slices(slices.repartition(spark.sparkContext.defaultParallelism))
 
 
-def read_pair_stream(spark: SparkSession, path: str, path2: str, rows_per_slice: int = 10_000, slices_per_batch: int = 64) -> DataFrame:
+def read_pair_stream(spark: SparkSession, path: str, path2: str, rows_per_slice: int = 10_000, slices_per_batch: int = 0) -> DataFrame:
     """pair_idx and both mates of two plain files, cut after the same pairs; a file with more reads is an error."""
     fastq.register(spark)
+    slices_per_batch = slices_per_batch or max(1, BATCH_READS // rows_per_slice)
     source = spark.readStream.format("fastq_pairs").option("path2", path2).option("rowsPerSlice", str(rows_per_slice)).option("slicesPerBatch", str(slices_per_batch))
     return fastq.parse_pairs(source.load(path).repartition(spark.sparkContext.defaultParallelism))
 
@@ -42,7 +47,8 @@ def append_blocks(reads: DataFrame, path: str, checkpoint: str, block_reads: int
 
     Blocks carry read_idx from the source, and need no state between batches. `reads` may be pairs; with a layout, pairs, or the
     reads of an interleaved file, are laid out by it, consecutive ones within each block. The query can be stopped at any time and goes on
-    from its checkpoint; its progress tells the slices of each batch.
+    from its checkpoint; its progress tells the slices of each batch. With `once` it returns when all that the source holds is in, in as many batches as that takes:
+    Spark's availableNow trigger would ask a source written in Python for one batch only, and end with that.
     """
 
     def batch(df: DataFrame, number: int) -> None:
@@ -52,8 +58,13 @@ def append_blocks(reads: DataFrame, path: str, checkpoint: str, block_reads: int
             df = layout.blocked_consecutive(df, block_reads) if pe_layout == "consecutive" else layout.arrange(df, "interleaved")
         store.encode_blocks(df.select(*store.READ_COLUMNS), block_reads, **settings).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    when = {"availableNow": True} if once else {"processingTime": "0 seconds"}
-    return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**when).start()
+    query = reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    if once:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return query
 
 
 def finish(spark: SparkSession, path: str) -> DataFrame:

@@ -448,3 +448,42 @@ QUALITIES = [
     ("".join(map(chr, range(33, 127))), 9, 70, 1, "b6fe2e24338ecb8ea02f4b790935d4d7"),
     ("!~", 3, 1, 2, "bb6fe7c974f00a7b6305870eb5250c4f"),
 ]
+
+
+def test_a_stream_read_once_is_read_whole(spark, tmp_path):
+    """More slices than a batch has, of files that end within a slice and within a pair."""
+    for name, first, n in (("a", 0, 33), ("b", 33, 24), ("c", 57, 53)):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(numbered(first, n))
+    for m in "12":
+        (tmp_path / m).write_text(numbered(0, 57))
+    for name, stream, laid, n in (
+        ("plain", ingest.read_stream(spark, str(tmp_path / "in"), 10, 2), "", 110),
+        ("interleaved", ingest.read_stream(spark, str(tmp_path / "in"), 10, 2), "consecutive", 110),
+        ("pairs", ingest.read_pair_stream(spark, str(tmp_path / "1"), str(tmp_path / "2"), 5, 3), "interleaved", 114),
+    ):
+        ingest.append_blocks(stream, f"{tmp_path}/{name}", f"{tmp_path}/{name}-c", 10, once=True, pe_layout=laid, kind="long").awaitTermination()
+        blocks = ingest.finish(spark, f"{tmp_path}/{name}")
+        assert store.structure_errors(blocks, n).count() == 0
+        rows = store.decode_blocks(blocks, mates=True).orderBy("read_idx").collect()
+        ids = [int(r.id[1:]) for r in rows]
+        assert [r.read_idx for r in rows] == list(range(n))
+        if laid == "consecutive":
+            assert sorted(ids) == list(range(n)) and all(r.mate == 1 + int(r.id[1:]) % 2 for r in rows)
+        else:
+            assert ids == [i // 2 for i in range(n)] if laid else ids == list(range(n))
+        assert len(list((tmp_path / name).glob("batch=*"))) > 3
+
+
+def test_slices_end_at_multiples_of_their_rows_over_files(tmp_path):
+    for name, first, n in (("a", 0, 33), ("b", 33, 4), ("c", 37, 53)):
+        (tmp_path / name).write_text(numbered(first, n))
+    for slices in (1, 2, 3, 64):
+        stream = fastq.SliceStream({"path": str(tmp_path), "rowsPerSlice": 10, "slicesPerBatch": slices})
+        at, seen = stream.initialOffset(), []
+        while found := list((got := stream.read(at))[0]):
+            assert list(stream.readBetweenOffsets(at, got[1])) == found
+            seen += [r[0] for s in found for r in fastq.reads_of(s)]
+            at = got[1]
+            assert at["next"] % 10 == 0 or at["next"] == 90
+        assert seen == list(range(90))
