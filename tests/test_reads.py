@@ -487,3 +487,44 @@ def test_slices_end_at_multiples_of_their_rows_over_files(tmp_path):
             at = got[1]
             assert at["next"] % 10 == 0 or at["next"] == 90
         assert seen == list(range(90))
+
+
+def plain_minimizers(s, k=15, w=10):
+    code = {c: i for i, c in enumerate(b"ACGT")}
+    h = []
+    for i in range(len(s) - k + 1):
+        part = [code.get(c) for c in s[i : i + k]]
+        both = None if None in part else (sum(v << 2 * (k - 1 - j) for j, v in enumerate(part)), sum((3 - v) << 2 * j for j, v in enumerate(part)))
+        h.append(min(both) if both else 1 << 62)
+    size, found, before = min(w, len(h)), [], None
+    for a in range(len(h) - size + 1 if h else 0):
+        at = min(range(a, a + size), key=h.__getitem__)
+        if h[at] == 1 << 62:
+            at = None
+        elif at != before:
+            found.append((at, h[at]))
+        before = at
+    return found
+
+
+def test_minimizers_of_many_reads_at_once_are_those_of_each():
+    """Reads of all lengths side by side, over several stretches of one call; none reaches into the next."""
+    draw = random.Random(31)
+    texts = ["".join(draw.choices("ACGTNg", [9, 9, 9, 9, 1, 0.3], k=draw.choice((0, 3, 14, 15, 16, 23, 24, 25, 26, 80, 200)))).encode() for _ in range(2500)] + [b"N" * 40, "é".encode() + b"ACGTTTGA" * 4, b"A" * 99, b"ACGT" * 9000]
+    found = list(similarity.minimizer_rows(texts))
+    assert len(found) > 1
+    rows = [r for part in found for r in zip(*(x.tolist() for x in part), strict=True)]
+    assert rows == [(i, *m) for i, t in enumerate(texts) for m in plain_minimizers(t)]
+    assert not list(similarity.minimizer_rows([]))
+
+
+def test_shuffles_of_minimizers_grow_with_the_input(spark, tmp_path):
+    from helixframe.operators import shared
+
+    for name, n in (("a", 1000), ("b", 40_000)):
+        spark.range(n).selectExpr("id as read_idx", "concat(md5(string(id)), md5(string(-id))) as sequence").write.parquet(str(tmp_path / name))
+    few, many = (shared.parts(similarity.minimizers_arrow(spark.read.parquet(str(tmp_path / n))), 100_000) for n in "ab")
+    assert few == 8 and 15 < many < 80 and shared.parts(similarity.minimizers_arrow(spark.createDataFrame([(1, "A")], "read_idx bigint, sequence string")), 1) >= 8
+    mins = similarity.minimizers_arrow(spark.createDataFrame([(i, "ACGTACGGTCA" * 4) for i in range(5)], "read_idx bigint, sequence string"))
+    assert {(r.reads, r.places) for r in similarity.buckets(mins).collect()} == {(5, n) for n in {r.n for r in mins.where("read_idx = 0").groupBy("hash").count().toDF("hash", "n").collect()}}
+    assert similarity.candidates(mins).count() == 10
