@@ -399,9 +399,10 @@ def read_text_fastq(spark: SparkSession, path) -> DataFrame:
     over the splits in the order of files and offsets give the number of each split's first line. The second scan
     folds lines to records where they are; records that lie across splits are put together from the kept lines.
     No line is shuffled. The driver holds 16 bytes a split. A file whose lines are no multiple of four is an error.
+    Small splits share tasks, and the tables of them files, so that neither is as many as the splits.
     """
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    text = text.select("value", "path", "start", F.xxhash64("path", "start").alias("split"))
+    text = together(text.select("value", "path", "start", F.xxhash64("path", "start").alias("split")))
     ends = "split bigint, path string, start bigint, lines bigint, head array<string>, tail array<string>"
 
     def count(batches):
@@ -424,7 +425,7 @@ def read_text_fastq(spark: SparkSession, path) -> DataFrame:
 
     stored = shared.folder(spark, "splits")
     text.mapInArrow(count, ends).write.parquet(stored)
-    splits = spark.read.schema(ends).parquet(stored)
+    splits = together(spark.read.schema(ends).parquet(stored))
     order = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
     based = splits.withColumn("base", F.coalesce(F.sum("lines").over(order), F.lit(0)))
     known = based.select("split", "base").collect()
@@ -465,6 +466,18 @@ def read_text_fastq(spark: SparkSession, path) -> DataFrame:
     return checked.select("read_idx", read_id.alias("id"), comment.alias("comment"), "sequence", "quality")
 
 
+TASK_BYTES = 32 << 20
+
+
+def together(scan: DataFrame) -> DataFrame:
+    """A scan of splits that the session wants small, with enough neighbours to a task for about 32 MB; each core keeps tasks, and splits of that size stay alone."""
+    spark = scan.sparkSession
+    largest = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    n = scan.rdd.getNumPartitions()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-n // max(1, TASK_BYTES // largest)))
+    return scan.coalesce(tasks) if tasks < n else scan
+
+
 def stretches(split: np.ndarray) -> list[tuple[int, int]]:
     """(first, end) of each run of equal values."""
     if not len(split):
