@@ -9,9 +9,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixframe import schema
 from helixframe.errors import FormatError, UnsupportedFormat, UnsupportedVersion
@@ -123,25 +125,52 @@ def read_index(f, region: int, budget: admission.DecodeBudget) -> list[dict]:
 
 
 def export(blocks: DataFrame, path: str, flags: int, name: str = "", timestamp: int = 0, order_map: list[int] | None = None) -> int:
-    """Writes an archive's blocks as one file, block by block through the driver; its checksum over the flags and all streams in block order."""
-    index, total, sum_ = [], 0, xxhash.xxh64(struct.pack("<Q", flags), seed=0)
+    """Writes an archive's blocks as one file; its checksum over the flags and all streams in block order.
+
+    The driver gets the blocks' sizes, which settle their places; tasks write the blocks there, so all machines must see the file. A task that
+    runs again writes the same bytes again. The checksum is of one run through the streams, which the driver reads from the file.
+    """
+    sizes = [F.octet_length(f"{s}_data").cast("bigint") for s in STREAMS]
+    rows = blocks.select("block_id", "archive_id_start", "read_count", sum(sizes[1:], sizes[0]).alias("size")).orderBy("block_id").collect()
+    header = write_global(flags, sum(r["read_count"] for r in rows), name, timestamp)
+    data = np.array([r["size"] for r in rows], np.int64)
+    ids = np.array([r["block_id"] for r in rows], np.int64)
+    if len(np.unique(ids)) < len(ids):
+        raise FormatError("two blocks have one number")
+    ends = 9 + len(header) + np.cumsum(data + size_of(BLOCK))
+    starts = ends - data - size_of(BLOCK)
     with open(path, "wb") as f:
-        f.write(MAGIC + bytes([MAJOR << 4 | MINOR]))
-        at = f.tell()
-        f.write(write_global(flags, 0, name, timestamp))
-        for r in blocks.orderBy("block_id").toLocalIterator():
-            data = [bytes(r[f"{s}_data"]) for s in STREAMS]
-            sizes = [len(d) for d in data]
-            offsets = [sum(sizes[:i]) for i in range(4)]
-            head = {"block_id": r["block_id"], "checksum_type": 1, "checksum": r["checksum"] % (1 << 64), "read_count": r["read_count"], "uniform_read_length": r["uniform_read_length"], "compressed_size": sum(sizes)}
-            head |= {f"codec_{s}": r[f"codec_{s}"] for s in STREAMS} | {f"offset_{s}": o for s, o in zip(STREAMS, offsets, strict=True)} | {f"size_{s}": n for s, n in zip(STREAMS, sizes, strict=True)}
-            index.append({"offset": f.tell(), "compressed_size": sum(sizes), "archive_id_start": r["archive_id_start"], "read_count": r["read_count"]})
-            f.write(put(BLOCK, **head))
-            for d in data:
-                f.write(d)
-                sum_.update(d)
-            total += r["read_count"]
+        f.write(MAGIC + bytes([MAJOR << 4 | MINOR]) + header)
+    places = blocks.sparkSession.sparkContext.broadcast((ids, starts))
+
+    def write(batches) -> Iterator[pa.RecordBatch]:
+        ids, starts = places.value
+        for b in batches:
+            with open(path, "r+b") as f:
+                for r in b.to_pylist():
+                    parts = [r[f"{s}_data"] for s in STREAMS]
+                    lengths = [len(d) for d in parts]
+                    head = {"block_id": r["block_id"], "checksum_type": 1, "checksum": r["checksum"] % (1 << 64), "read_count": r["read_count"], "uniform_read_length": r["uniform_read_length"], "compressed_size": sum(lengths)}
+                    head |= {f"codec_{s}": r[f"codec_{s}"] for s in STREAMS} | {f"offset_{s}": sum(lengths[:i]) for i, s in enumerate(STREAMS)} | {f"size_{s}": n for s, n in zip(STREAMS, lengths, strict=True)}
+                    f.seek(int(starts[np.searchsorted(ids, r["block_id"])]))
+                    f.write(put(BLOCK, **head) + b"".join(parts))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    done = blocks.mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if done != len(rows):
+        raise FormatError(f"{done} of {len(rows)} blocks were written")
+    sum_ = xxhash.xxh64(struct.pack("<Q", flags), seed=0)
+    with open(path, "r+b") as f:
+        for start, n in zip(starts.tolist(), data.tolist(), strict=True):
+            f.seek(start + size_of(BLOCK))
+            while n:
+                part = f.read(min(n, PADDING))
+                if not part:
+                    raise FormatError("the file ends within a block")
+                sum_.update(part)
+                n -= len(part)
         map_at = 0
+        f.seek(0, 2)
         if order_map is not None:
             map_at = f.tell()
             reverse = [0] * len(order_map)
@@ -150,11 +179,11 @@ def export(blocks: DataFrame, path: str, flags: int, name: str = "", timestamp:
             parts = [codecs.encode_deltas(order_map), codecs.encode_deltas(reverse)]
             f.write(put(MAP, version=1, total_reads=len(order_map), forward_size=len(parts[0]), reverse_size=len(parts[1])) + b"".join(parts))
         index_at = f.tell()
-        f.write(put(INDEX, entry_size=size_of(ENTRY), num_blocks=len(index)) + b"".join(put(ENTRY, **e) for e in index))
+        f.write(put(INDEX, entry_size=size_of(ENTRY), num_blocks=len(rows)))
+        for r, start, n in zip(rows, starts.tolist(), data.tolist(), strict=True):
+            f.write(put(ENTRY, offset=start, compressed_size=n, archive_id_start=r["archive_id_start"], read_count=r["read_count"]))
         f.write(put(FOOTER, index_offset=index_at, map_offset=map_at, global_checksum=sum_.intdigest(), magic=MAGIC_END))
-        f.seek(at)
-        f.write(write_global(flags, total, name, timestamp))  # the count is known now
-    return total
+    return sum(r["read_count"] for r in rows)
 
 
 def open_container(path: str, memory_mb: int = 0) -> dict:

@@ -528,3 +528,40 @@ def test_shuffles_of_minimizers_grow_with_the_input(spark, tmp_path):
     mins = similarity.minimizers_arrow(spark.createDataFrame([(i, "ACGTACGGTCA" * 4) for i in range(5)], "read_idx bigint, sequence string"))
     assert {(r.reads, r.places) for r in similarity.buckets(mins).collect()} == {(5, n) for n in {r.n for r in mins.where("read_idx = 0").groupBy("hash").count().toDF("hash", "n").collect()}}
     assert similarity.candidates(mins).count() == 10
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    (tmp_path / "a").write_text(numbered(0, 3000))
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    rows = fastq.read_text_fastq(session, str(tmp_path / "a"))
+    assert rows.rdd.getNumPartitions() < 200 < session.read.text(str(tmp_path / "a")).rdd.getNumPartitions()
+    check_numbers(rows, 3000)
+
+
+def test_no_stream_of_an_exported_archive_passes_through_spark_to_the_driver(spark, tmp_path, monkeypatch):
+    import struct
+
+    import xxhash
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    (tmp_path / "1").write_text(numbered(0, 300))
+    blocks = store.encode_blocks(fastq.read_fastq(spark, str(tmp_path / "1")), 8, "medium").persist()
+    want = xxhash.xxh64(struct.pack("<Q", 3), seed=0)
+    for r in blocks.orderBy("block_id").collect():
+        for s in container.STREAMS:
+            want.update(bytes(r[f"{s}_data"]))
+    collect = DataFrame.collect
+
+    def bare(df):
+        assert not any(c.endswith("_data") for c in df.columns)
+        return collect(df)
+
+    monkeypatch.setattr(DataFrame, "collect", bare)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", bare)
+    assert container.export(blocks.repartition(5), str(tmp_path / "x"), 3) == 300
+    monkeypatch.undo()
+    assert container.open_container(str(tmp_path / "x"))["footer"]["global_checksum"] == want.intdigest()
+    check_numbers(store.decode_blocks(container.load_blocks(spark, str(tmp_path / "x"))), 300)
+    assert container.export(blocks.where("false"), str(tmp_path / "y"), 3) == 0 and not container.open_container(str(tmp_path / "y"))["index"]
