@@ -120,7 +120,7 @@ def compress(spark: SparkSession, a: argparse.Namespace) -> None:
         kind = request.kind or kind
         order = None
         if layout.reorder_allowed(request.reorder, kind, request.paired):
-            order = layout.similarity_order(reads, similarity.least_minimizers(reads))
+            order = layout.similarity_order(similarity.order_keys(reads))
         store.write_archive(reads, a.output, "overwrite" if a.force else "errorifexists", a.memory_limit * admission.MB or None, order, a.input, request.paired, a.pe_layout, request.mode == "streaming", layout.block_size(0, kind, longest, a.max_block_bases), 0, a.lossy_quality, a.id_mode, a.level, a.quality_codec, kind)
     if not a.quiet:
         report(spark, a.output, time.time() - began, a.verbose)

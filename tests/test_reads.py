@@ -565,3 +565,24 @@ def test_no_stream_of_an_exported_archive_passes_through_spark_to_the_driver(spa
     assert container.open_container(str(tmp_path / "x"))["footer"]["global_checksum"] == want.intdigest()
     check_numbers(store.decode_blocks(container.load_blocks(spark, str(tmp_path / "x"))), 300)
     assert container.export(blocks.where("false"), str(tmp_path / "y"), 3) == 0 and not container.open_container(str(tmp_path / "y"))["index"]
+
+
+def test_order_keys_are_the_least_minimizers_of_all_reads(spark):
+    draw = random.Random(10)
+    texts = ["".join(draw.choices("ACGTNg", [9, 9, 9, 9, 1, 0.3], k=draw.choice((0, 14, 15, 40, 90)))) for _ in range(400)] + ["N" * 40, "", "é" + "ACGTTTGA" * 4]
+    found = similarity.order_keys(spark.createDataFrame([*enumerate(texts)], "read_idx bigint, sequence string")).collect()
+    want = [(i, min((h for _, h in plain_minimizers(t.encode())), default=-1), len(t)) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, found)) == want
+
+
+def test_ranges_of_an_order_grow_with_the_reads(spark, monkeypatch):
+    """As many reads again, as many range partitions again, and so tasks of the same size; ranks stay whole and in order."""
+    monkeypatch.setattr(layout, "RANK_BYTES", 20_000, raising=False)
+    ranges = []
+    for n in (4000, 40_000):
+        reads = spark.range(n).selectExpr("id as read_idx", "translate(concat(md5(string(id % 999)), md5(string(id % 77))), '0123456789abcdef', 'ACGTACGTACGTACGT') as sequence")
+        order = layout.similarity_order(similarity.order_keys(reads))
+        ranges.append(len(order.inputFiles()))
+        keys = {r.orig_idx: (r.h, r.len, r.orig_idx) for r in similarity.order_keys(reads).collect()}
+        assert [(r.orig_idx, r.archive_idx) for r in order.orderBy("archive_idx").collect()] == [(i, k) for k, i in enumerate(sorted(keys, key=keys.__getitem__))]
+    assert ranges[0] <= 8 < ranges[1]
