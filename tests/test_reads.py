@@ -586,3 +586,12 @@ def test_ranges_of_an_order_grow_with_the_reads(spark, monkeypatch):
         keys = {r.orig_idx: (r.h, r.len, r.orig_idx) for r in similarity.order_keys(reads).collect()}
         assert [(r.orig_idx, r.archive_idx) for r in order.orderBy("archive_idx").collect()] == [(i, k) for k, i in enumerate(sorted(keys, key=keys.__getitem__))]
     assert ranges[0] <= 8 < ranges[1]
+
+
+def test_scans_of_large_files_are_dealt_finer(spark, tmp_path, monkeypatch):
+    from helixframe.plans import views
+
+    spark.range(20_000).selectExpr("id as o_orderkey", "id as o_custkey", "'O' as o_orderstatus").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    few = views.reads(spark, str(tmp_path)).rdd.getNumPartitions()
+    monkeypatch.setattr(views, "SPREAD_BYTES", 1000, raising=False)
+    assert views.reads(spark, str(tmp_path)).rdd.getNumPartitions() > 2 * few
