@@ -2,6 +2,7 @@ import bz2
 import gzip
 import lzma
 import random
+import re
 
 import numpy as np
 import pytest
@@ -595,3 +596,17 @@ def test_scans_of_large_files_are_dealt_finer(spark, tmp_path, monkeypatch):
     few = views.reads(spark, str(tmp_path)).rdd.getNumPartitions()
     monkeypatch.setattr(views, "SPREAD_BYTES", 1000, raising=False)
     assert views.reads(spark, str(tmp_path)).rdd.getNumPartitions() > 2 * few
+
+
+@pytest.mark.parametrize("name", ["minimizer_candidates", "minimizer_buckets"])
+def test_minimizers_of_a_small_file_are_dealt_by_their_bases(spark, tmp_path, monkeypatch, name):
+    """The driver's table holds a read in eight bytes, so its size says little about the minimizers; the rows stay the same."""
+    from helixframe.plans import catalogue
+
+    spark.range(3000).selectExpr("id as o_orderkey", "id div 10 as o_custkey", "'O' as o_orderstatus").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    few = catalogue.queries()[name](spark, str(tmp_path))
+    monkeypatch.setattr(similarity, "BUCKET_BASES", 3000 * 40 // 30, raising=False)
+    many = catalogue.queries()[name](spark, str(tmp_path))
+    parts = [max(int(n) for n in re.findall(r"hashpartitioning\(hash#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())) for df in (few, many)]
+    assert parts[0] == 8 and 30 <= parts[1] <= 60
+    assert sorted(few.collect()) == sorted(many.collect())
