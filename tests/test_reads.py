@@ -610,3 +610,15 @@ def test_minimizers_of_a_small_file_are_dealt_by_their_bases(spark, tmp_path, mo
     parts = [max(int(n) for n in re.findall(r"hashpartitioning\(hash#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())) for df in (few, many)]
     assert parts[0] == 8 and 30 <= parts[1] <= 60
     assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_groups_of_a_path_are_dealt_to_more_tasks_as_reads_grow(spark, tmp_path, monkeypatch):
+    """Few bytes of many groups would go to one task for each core, whatever a path costs; the paths stay the same."""
+    spark.range(6000).selectExpr("id as read_idx", "substr(translate(md5(string(id div 7)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 20 + id % 13) as sequence").write.parquet(str(tmp_path / "reads"))
+    reads = spark.read.parquet(str(tmp_path / "reads"))
+    group = fn.F.floor(fn.F.col("read_idx") / 50)
+    few = similarity.greedy_order(reads, group)
+    monkeypatch.setattr(similarity, "PATH_BYTES", 2000, raising=False)
+    many = similarity.greedy_order(reads, group)
+    assert many.rdd.getNumPartitions() >= 40 > few.rdd.getNumPartitions()
+    assert sorted(few.collect()) == sorted(many.collect()) and many.count() == 6000
